@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import mixing, token_counts
+from sparkloom.llm import mixing, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_secret_scan": secrets.op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
