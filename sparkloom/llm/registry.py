@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import html_text, mixing, secrets, token_counts
+from sparkloom.llm import html_text, media, mixing, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op5_html_text": html_text.op5_html_text,
+    "op8_media_roundtrip": media.op8_media_roundtrip,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
