@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import arrow_map, flat, table
+from sparkloom.llm.common import arrow_map, flat, runs, table
 
 KINDS = ("assign", "access", "hex", "grammar")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -191,18 +191,6 @@ def format_score(automata: dict[str, Automaton], text: str) -> float:
     return (best - automata["everyday"].likelihood(text)) / max(1, len(text))
 
 
-def runs(member: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of maximal runs of ``member`` of at least ``least``, none across one of ``ends``."""
-    if not len(member):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    edge = np.zeros(len(member) + 1, bool)
-    edge[ends] = True
-    starts = np.flatnonzero(member & (edge[:-1] | ~np.concatenate(([False], member[:-1]))))
-    stops = np.flatnonzero(member & (edge[1:] | ~np.concatenate((member[1:], [False])))) + 1
-    long = stops - starts >= least
-    return starts[long], stops[long]
-
-
 class Scanner:
     """Finds the spans of a batch of texts."""
 
