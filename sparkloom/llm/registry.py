@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import html_text, media, mixing, secrets, token_counts
+from sparkloom.llm import html_text, media, mixing, near_dups, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op3_near_duplicates": near_dups.op3_near_duplicates,
     "op5_html_text": html_text.op5_html_text,
     "op8_media_roundtrip": media.op8_media_roundtrip,
     "op9_mix_sources": mixing.op9_mix_sources,
@@ -17,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_near_duplicates": near_dups.SQL,
     "op9_mix_sources": mixing.SQL,
 }
