@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import html_text, licenses, media, mixing, near_dups, quality, secrets, token_counts, vectors
+from sparkloom.llm import byte_bpe, html_text, licenses, media, mixing, near_dups, quality, secrets, token_counts, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_near_duplicates": near_dups.op3_near_duplicates,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_html_text": html_text.op5_html_text,
