@@ -2,15 +2,18 @@
 
 1. Every text gives its set of word shingles as sorted 64-bit hashes, the minima of ``PERMUTATIONS`` hash functions over
    it, one key for each band of ``ROWS`` minima, and a packed signature of the low ``LOW_BITS`` bits of each minimum.
-   With 36 bands of 5, two sets of similarity 0.8 share no band once in 1.6 million pairs.
+   With 48 bands of 5, two sets of similarity 0.8 share no band once in 200 million pairs.
 2. Equal sets become one class by a digest, so a group of copies of any size is one row from here on.
-3. Documents in a band bucket of their own drop out. The rest are linked in passes. In a pass the members of each bucket
-   are put in a random order and neighbours of different components form candidate pairs; the signatures' similarity,
-   corrected for chance collisions and counted with bit operations, leaves out those below ``ESTIMATE``, and each document
-   keeps its best ``BEST`` pairs. These are confirmed on the full sets, and components are formed.
-4. When few pairs between components are left, all of them that pass the signature are confirmed, so no link that shares a
-   band and joins different components is lost. Pairs inside one component need no check, which spares the square of a
-   group's size.
+3. Documents in a band bucket of their own drop out. The rest are linked in ``PASSES`` passes. In a pass the members of each
+   bucket are put in a random order and neighbours of different components form candidate pairs; the signatures'
+   similarity, corrected for chance collisions and counted with bit operations, and the sets' sizes leave out unlikely
+   pairs, and each document keeps its likeliest ``BEST``. These are confirmed on the full sets, and the components they
+   join become one. Pairs inside one component need no check, which spares the square of a group's size.
+4. Components that likely pairs connect form a cluster. In a cluster, all documents outside its largest component are
+   compared with all of it, in squares of bounded size: the full sets of both sides as 0-1 matrices, whose product has
+   the exact intersections. Nothing is emitted but the links that join components.
+5. What is left are likely pairs of different clusters that share a bucket; all of them are confirmed. So no link that
+   shares a band and joins different components is lost.
 
 Large buckets are split by a random salt for the ordering, and joins on bucket keys can be split by adaptive execution.
 
@@ -21,6 +24,7 @@ to the smallest key; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -28,20 +32,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import arrow_map, flat, materialise, table
+from sparkloom.llm.common import arrow_map, flat, materialise, setting, slices, table
 from sparkloom.llm.components import components
 from sparkloom.llm.words import LOWER, mix, shingle_sets
 
-ROWS, BANDS, LOW_BITS = 5, 36, 2
+ROWS, BANDS, LOW_BITS = 5, 48, 4
 PERMUTATIONS = ROWS * BANDS
-#: Signatures are kept as longs of so many minima each.
-PER_LONG = 30
-LONGS = PERMUTATIONS // PER_LONG
-#: 5.5 deviations of the estimate below a similarity of 0.8.
-ESTIMATE = 0.6
+#: Signatures are kept as bit planes: for 64 minima at a time a long for each of the low bits.
+GROUPS = -(-PERMUTATIONS // 64)
+LONGS = GROUPS * LOW_BITS
+#: Deviations of the estimate by which a pair may fall short.
+SLACK = 4.3
 BEST = 2
 SALTED = 1000
-PASSES = 8
+PASSES = 2
+#: Documents on a side of a square that one task compares, and shingles it takes at a time.
+TILE, CHUNK = 256, 8192
+
+#: Else the optimiser multiplies the terms of the estimate.
+CALM = ("spark.sql.constraintPropagation.enabled", "false")
 
 _DRAW = np.random.Generator(np.random.PCG64(77))
 MULTIPLY = (_DRAW.integers(0, 1 << 63, PERMUTATIONS, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -68,8 +77,10 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 def signatures(least: np.ndarray) -> np.ndarray:
     """The low bits of the minima, packed: (n, PERMUTATIONS) to (n, LONGS)."""
-    low = (least & np.uint64((1 << LOW_BITS) - 1)).reshape(len(least), LONGS, PER_LONG)
-    return (low << (np.uint64(LOW_BITS) * np.arange(PER_LONG, dtype=np.uint64))).sum(axis=2, dtype=np.uint64).view(np.int64)
+    low = np.zeros((len(least), GROUPS * 64), np.uint64)
+    low[:, :PERMUTATIONS] = least
+    low = low.reshape(len(least), GROUPS, 1, 64) >> np.arange(LOW_BITS, dtype=np.uint64)[:, None] & np.uint64(1)
+    return (low << np.arange(64, dtype=np.uint64)).sum(axis=3, dtype=np.uint64).reshape(len(least), LONGS).view(np.int64)
 
 
 def features(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -99,15 +110,23 @@ def features(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text
 
 def estimate(a: str, b: str) -> Column:
     """Similarity by the signatures in the structs ``a`` and ``b``: share of equal minima, less chance collisions."""
-    half = sum(1 << (LOW_BITS * i) for i in range(PER_LONG))
     apart = F.lit(0)
-    for i in range(LONGS):
-        x = F.col(f"{a}.sig{i}").bitwiseXOR(F.col(f"{b}.sig{i}"))
-        apart = apart + F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(half)))
+    for g in range(GROUPS):
+        planes = [F.col(f"{a}.sig{i}").bitwiseXOR(F.col(f"{b}.sig{i}")) for i in range(g * LOW_BITS, (g + 1) * LOW_BITS)]
+        apart = apart + F.bit_count(functools.reduce(lambda x, y: x.bitwiseOR(y), planes))
     chance = 2.0**-LOW_BITS
     return ((1 - apart / PERMUTATIONS) - chance) / (1 - chance)
 
 
+def likely(a: str, b: str, percent: int) -> Column:
+    """The pair may reach the similarity: neither the sizes forbid it nor, but for ``SLACK`` deviations, the signatures."""
+    least = percent / 100
+    share = least + (1 - least) * 2.0**-LOW_BITS
+    deviation = (share * (1 - share) / PERMUTATIONS) ** 0.5 / (1 - 2.0**-LOW_BITS)
+    n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (estimate(a, b) >= least - SLACK * deviation)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets reach the similarity. ``texts`` has ``id, text``."""
     first = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -136,59 +155,132 @@ def crowded_buckets(classes: DataFrame) -> DataFrame:
     return rows.join(crowded, "key").select("key", "n", "id")
 
 
-def neighbours(members: DataFrame, turn: int) -> DataFrame:
-    """Candidate pairs of a pass: ``a, b, likeness``, the best of each ``b``."""
-    order = F.xxhash64("id", "key", F.lit(turn))
+def neighbours(members: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Candidate pairs of a pass, ``a, b``: each bucket in a random order, of each ``b`` the likeliest."""
     salt = F.pmod(F.xxhash64("id", F.lit(turn + 1000)), F.ceil(F.col("n") / SALTED))
-    ordered = members.withColumn("salt", salt).withColumn("order", order)
+    ordered = members.withColumn("salt", salt).withColumn("order", F.xxhash64("id", "key", F.lit(turn)))
     bucket = Window.partitionBy("key", "salt").orderBy("order", "id")
-    pairs = ordered.withColumn("before", F.lag("own").over(bucket)).where("before.component <> own.component")
-    pairs = pairs.withColumn("likeness", estimate("before", "own")).where(F.col("likeness") >= ESTIMATE)
-    pairs = pairs.groupBy(F.least("before.id", "own.id").alias("a"), F.greatest("before.id", "own.id").alias("b")).agg(F.max("likeness").alias("likeness"))
+    pairs = ordered.withColumn("before", F.lag("own").over(bucket)).where("before.component <> own.component").where(likely("before", "own", percent))
+    pairs = pairs.groupBy(F.least("before.id", "own.id").alias("a"), F.greatest("before.id", "own.id").alias("b")).agg(F.max(estimate("before", "own")).alias("likeness"))
     best = Window.partitionBy("b").orderBy(F.desc("likeness"), "a")
-    return pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= BEST).drop("place")
+    return pairs.withColumn("place", F.row_number().over(best)).select("a", "b", (F.col("place") <= BEST).alias("best"))
 
 
-def all_pairs_between(members: DataFrame) -> DataFrame:
-    """Every pair of different components that shares a bucket and passes the signature."""
+def pairs_between(members: DataFrame, percent: int) -> DataFrame:
+    """Every likely pair of different clusters that shares a bucket."""
+    mixed = members.groupBy("key").agg(F.min("own.cluster").alias("low"), F.max("own.cluster").alias("high")).where("low < high").select("key")
+    members = members.join(mixed, "key", "left_semi")
     left = members.select("key", F.col("own").alias("before"))
     right = members.select("key", F.col("own"))
-    likely = (F.col("before.component") < F.col("own.component")) & (estimate("before", "own") >= ESTIMATE)
-    return left.join(right, "key").where(likely).select(F.col("before.id").alias("a"), F.col("own.id").alias("b")).distinct()
+    apart = F.col("before.cluster") < F.col("own.cluster")
+    return left.join(right, "key").where(apart & likely("before", "own", percent)).select(F.least("before.id", "own.id").alias("a"), F.greatest("before.id", "own.id").alias("b")).distinct()
+
+
+def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (``id, component``) with the components that ``links`` (``a, b``) join made one."""
+    return labels.join(joined_components(labels, links), "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+
+
+def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``component, least``: of each component that ``links`` join with another, the least of them all."""
+    ends = links.join(labels.select(F.col("id").alias("a"), F.col("component").alias("low")), "a").join(labels.select(F.col("id").alias("b"), F.col("component").alias("high")), "b")
+    return components(ends.select("low", "high"), "low", "high").select(F.col("id").alias("component"), F.col("component").alias("least"))
+
+
+def common_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of ``one`` with each of ``two``, by products of 0-1 matrices."""
+    found = np.zeros((len(one), len(two)), np.int64)
+    if not one or not two:
+        return found
+    whole, back = np.unique(np.concatenate([*one, *two]), return_inverse=True)
+    owner = np.repeat(np.arange(len(one) + len(two)), [len(x) for x in (*one, *two)])
+    shared = np.bincount(back, minlength=len(whole)) > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[back]
+    back, owner = place[back[keep]], owner[keep]
+    order = np.argsort(back, kind="stable")
+    back, owner = back[order], owner[order]
+    for low in range(0, int(shared.sum()), CHUNK):
+        a, b = np.searchsorted(back, (low, low + CHUNK))
+        held = np.zeros((len(one) + len(two), CHUNK), np.float32)
+        held[owner[a:b], back[a:b] - low] = 1
+        found += np.rint(held[: len(one)] @ held[len(one) :].T).astype(np.int64)
+    return found
+
+
+def compare_clusters(clustered: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``a, b`` that join components of a cluster. ``clustered``: ``id, component, cluster``."""
+    kinds = dict(clustered.dtypes)
+    sizes = clustered.groupBy("cluster", "component").agg(F.count("*").alias("k"))
+    sizes = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.max("k").alias("most"), F.sum("k").alias("n"))
+    sizes = sizes.where("n > most").select("cluster", "largest", F.ceil((F.col("n") - F.col("most")) / TILE).alias("rows"), F.ceil(F.col("n") / TILE).alias("columns"))
+    docs = clustered.join(sizes, "cluster")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    outside = docs.where("component <> largest").withColumn("x", F.pmod(F.xxhash64("id", F.lit(1)), "rows")).withColumn("y", every("columns")).withColumn("outside", F.lit(True))
+    inside = docs.withColumn("y", F.pmod(F.xxhash64("id", F.lit(2)), "columns")).withColumn("x", every("rows")).withColumn("outside", F.lit(False))
+    names = ["id", "component", "cluster", "x", "y", "outside"]
+    dealt = outside.select(*names).unionByName(inside.select(*names)).join(texts, "id")
+
+    def compare(group: pa.Table) -> pa.Table:
+        sets: list[np.ndarray] = []
+        for batch in group.select(["text"]).to_batches():
+            for part in slices(batch):
+                raw, at = flat(part.column(0))
+                sets += shingle_sets(LOWER[raw], at, words)
+        side = group.column("outside").to_numpy()
+        ids, parts = group.column("id").to_pylist(), group.column("component").to_pylist()
+        one, two = np.flatnonzero(side).tolist(), np.flatnonzero(~side).tolist()
+        common = common_counts([sets[i] for i in one], [sets[i] for i in two])
+        size_one, size_two = np.array([len(sets[i]) for i in one]), np.array([len(sets[i]) for i in two])
+        linked = (common > 0) & (100 * common >= percent * (size_one[:, None] + size_two[None, :] - common)) if one and two else np.zeros((0, 0), bool)
+        up: dict = {}
+
+        def root(c):
+            while c in up:
+                c = up[c]
+            return c
+
+        found = []
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            a, b = one[i], two[j]
+            p, q = root(parts[a]), root(parts[b])
+            if p != q:
+                up[q] = p
+                found.append((ids[a], ids[b]))
+        kind = group.schema.field("id").type
+        return pa.table([pa.array([a for a, _ in found], kind), pa.array([b for _, b in found], kind)], ["a", "b"])
+
+    return dealt.groupBy("cluster", "x", "y").applyInArrow(compare, f"a {kinds['id']}, b {kinds['id']}")
 
 
 def link_classes(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """``id, component`` of the classes that are linked with another; ``classes`` has ids, signatures and bands."""
+    """``id, component`` of the classes that may be linked with another; ``classes`` has ids, sizes, signatures and bands."""
+    spark, kind = classes.sparkSession, dict(classes.dtypes)["id"]
     crowded = materialise(crowded_buckets(classes), "buckets")
-    n_rows = crowded.count()
-    kind = dict(classes.dtypes)["id"]
-    spark = classes.sparkSession
-    linked = spark.createDataFrame([], f"id {kind}, component {kind}")
-    if not n_rows:
-        return linked
+    if not crowded.limit(1).count():
+        return spark.createDataFrame([], f"id {kind}, component {kind}")
     sigs = [f"sig{i}" for i in range(LONGS)]
-    candidates = crowded.select("id").distinct()
-    signed = materialise(classes.join(candidates, "id", "left_semi").select("id", *sigs), "signatures")
+    signed = materialise(classes.join(crowded.select("id").distinct(), "id", "left_semi").select("id", "n_shingles", *sigs), "signatures")
     texts = materialise(texts.join(signed.select("id").hint("shuffle_hash"), "id", "left_semi"), "texts")
-    links = tried = spark.createDataFrame([], f"a {kind}, b {kind}")
-    for turn in range(PASSES + 1):
-        own = signed.join(linked, "id", "left").select("id", F.struct("id", F.coalesce("component", "id").alias("component"), *sigs).alias("own"))
-        members = crowded.join(own, "id")
-        mixed = members.groupBy("key").agg(F.min("own.component").alias("low"), F.max("own.component").alias("high")).where("low < high").select("key")
-        members = materialise(members.join(mixed, "key", "left_semi"), "members")
-        sizes = members.groupBy("key", "own.component").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("inside"))
-        left = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2)).first()[0] or 0
-        if not left:
-            break
-        last = turn > 0 and left <= 2 * n_rows or turn == PASSES
-        pairs = all_pairs_between(members) if last else neighbours(members, turn).select("a", "b")
-        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = materialise(links.unionByName(confirm(pairs, texts, words, percent)), "confirmed")
-        tried = tried.unionByName(pairs)
-        linked = components(links)
-        if last:
-            break
-    return linked
+    labels = signed.select("id", F.col("id").alias("component"))
+    tried = spark.createDataFrame([], f"a {kind}, b {kind}")
+    for turn in range(PASSES):
+        own = signed.join(labels, "id").select("id", F.struct("id", "component", "n_shingles", *sigs).alias("own"))
+        with setting(spark, *CALM):
+            pairs = materialise(neighbours(crowded.join(own, "id"), turn, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = materialise(confirm(pairs.where("best"), texts, words, percent), "confirmed")
+        labels = materialise(merge_labels(labels, links), "labels")
+        tried = tried.unionByName(pairs.select("a", "b"))
+    clusters = joined_components(labels, tried).withColumnRenamed("least", "cluster")
+    clustered = materialise(labels.join(clusters, "component"), "clustered")
+    links = materialise(compare_clusters(clustered.select("id", "component", "cluster"), texts, words, percent), "confirmed")
+    labels = materialise(merge_labels(labels, links), "labels")
+    of_cluster = labels.join(clustered.select("id", "cluster"), "id", "left").select("id", F.coalesce("cluster", "component").alias("cluster"))
+    own = signed.join(of_cluster, "id").select("id", F.struct("id", "cluster", "n_shingles", *sigs).alias("own"))
+    with setting(spark, *CALM):
+        pairs = materialise(pairs_between(crowded.join(own, "id"), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = materialise(confirm(pairs, texts, words, percent), "confirmed")
+    return materialise(merge_labels(labels, links), "labels")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -196,17 +288,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     found = materialise(features(rows, words, "id"), "features")
     full = found.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
-    classes = full.groupBy("digest").agg(F.min("id").alias("id"))
-    of_class = full.select("id", "digest", "bands", *(f"sig{i}" for i in range(LONGS))).join(classes, ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"])
-    linked = link_classes(of_class, rows, words, percent)
-    named = classes.join(linked, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    firsts = full.groupBy("digest").agg(F.min("id").alias("id"))
+    classes = full.drop("digest").join(firsts.select("id").distinct(), "id", "left_semi")
+    labels = link_classes(classes, rows, words, percent)
+    named = firsts.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     # a repeated key may stand in several classes, which it joins
-    labels = full.select("id", "digest").join(named, "digest").groupBy("id").agg(F.min("component").alias("component"))
-    out = found.select("id", "n_shingles").join(labels, "id", "left")
+    own = full.select("id", "digest").join(named, "digest").groupBy("id").agg(F.min("component").alias("component"))
+    out = found.select("id", "n_shingles").join(own, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group: the one of the smallest key. Rows with a null key stay."""
+    dropped = near_duplicates(docs, words, percent, key, text).where("not kept").select(key).distinct()
+    return docs.join(dropped.hint("shuffle_hash"), key, "left_anti").select(*docs.columns)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
