@@ -345,23 +345,29 @@ def decode(rows: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") ->
     return chosen.mapInArrow(run, f"key {dict(rows.dtypes)[key]}, decoded binary").withColumnRenamed("key", key)
 
 
-def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_tokens, ids_sha256, decoded_sha256``: encodes, decodes the ids, and keeps digests of both alone."""
+def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """``key, n_tokens, ids_sha256, decoded_sha256``, and the ids on demand: encodes, and decodes the ids again."""
 
     def make():
         encoder = Encoder(path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for ids in encoder.encode([x or "" for x in batch.column(0).to_pylist()]):
+            found, rows = encoder.encode([x or "" for x in batch.column(0).to_pylist()]), []
+            for ids in found:
                 decoded = encoder.rank_fold.decode(ids)
                 rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.tobytes()).hexdigest()))
             n, a, b = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(1), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                ends = np.concatenate(([0], np.cumsum(n)))
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found]))))
+                names.append("ids")
+            return pa.RecordBatch.from_arrays(columns, names)
 
         return step
 
-    schema = f"key {dict(docs.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = f"key {dict(docs.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return arrow_map(docs.select(F.col(text).alias("text"), F.col(key).alias("key")), make, schema).withColumnRenamed("key", key)
 
 

@@ -136,10 +136,11 @@ class Ensemble:
         return 1 / (1 + np.exp(-z))
 
     def column(self, name: str) -> Column:
-        z = F.lit(self.intercept)
-        for rule, w in zip(self.rules, self.weights, strict=True):
-            z = z + F.when(rule.column(name), F.lit(w)).otherwise(0.0)
-        return 1 / (1 + F.exp(-z))
+        terms = [F.lit(self.intercept)]
+        terms += [F.when(rule.column(name), F.lit(w)).otherwise(0.0) for rule, w in zip(self.rules, self.weights, strict=True)]
+        while len(terms) > 1:  # a balanced sum: a chain of additions would be too deep for the optimiser
+            terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+        return 1 / (1 + F.exp(-terms[0]))
 
 
 def grow(x: np.ndarray, r: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int, path: tuple, paths: list, out: np.ndarray) -> None:
@@ -259,6 +260,13 @@ def with_score(docs: DataFrame, model: Ensemble, name: str, text: str = "text",
     return found.select(*order, model.column(stats).alias(name))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = KEEP_FROM) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, by a model learnt from those of them that have labels."""
+    name = fresh(docs, "score")
+    scored = with_score(docs, learn(docs, labels), name)
+    return scored.where(F.col(name) >= threshold).select(*docs.columns)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = learn(docs, table(spark, sf_dir, "labels"))
