@@ -73,7 +73,7 @@ def read_factor(spark: SparkSession, path: str, loop: int | None = None) -> Data
 
 def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
     """``node, block`` of a file of one block a line; the nodes are the lines from 1."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), r"\r?\n")))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")))
     return rows.select((F.col("pos") + 1).cast("long").alias("node"), F.trim("col").cast("long").alias("block"))
 
 
