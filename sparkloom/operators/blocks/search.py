@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.blocks.local import LOCAL_EDGES, partition_local
 from sparkloom.operators.blocks.merges import adjacent_pairs, best_merges, carry_out, delta_entropy, sampled_pairs
 from sparkloom.operators.blocks.moves import settle
 from sparkloom.operators.blocks.state import edge_counts, identity_labels, overall_entropy
@@ -81,13 +82,22 @@ def step(edges: DataFrame, start: Point, merges: int, nodes: int, n_edges: float
     return Point(labels, entropy, labels.select("block").distinct().count())
 
 
-def partition(edges: DataFrame, truth: DataFrame | None = None, *, seed: int = 1, rate: float = 0.5, first_rate: float | None = None, batches: int = 4, proposals: int | None = None, min_blocks: int = 0, stop_at_bracket: bool = False, resume: Bracket | None = None, most_sweeps: int = 100, least_moves: float = 0.0, form: str = "documented", n_edges: float | None = None) -> Result:
+def partition(edges: DataFrame, truth: DataFrame | None = None, *, seed: int = 1, rate: float = 0.5, first_rate: float | None = None, batches: int = 4, proposals: int | None = None, min_blocks: int = 0, stop_at_bracket: bool = False, resume: Bracket | None = None, most_sweeps: int = 100, least_moves: float = 0.0, form: str = "documented", n_edges: float | None = None, local: bool | None = None) -> Result:
     """Labels of least entropy that the search finds.
 
+    local: in one task, nodes moving one after another; by default so for graphs of up to ``LOCAL_EDGES`` edges.
+
     resume: the bracket of an earlier, stopped search. truth: only its nodes are used, so isolated ones count.
     """
     edges = cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "edges")
     n_edges = float(edges.agg(F.sum("weight")).first()[0] or 0) if n_edges is None else n_edges
+    plain = resume is None and not stop_at_bracket and proposals is None
+    if local or local is None and plain and edges.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
+        every = identity_labels(edges, truth)
+        labels = cut(partition_local(edges, every, seed=seed, rate=rate, min_blocks=min_blocks, most_sweeps=most_sweeps, form=form), "labels")
+        blocks, nodes = labels.select("block").distinct().count(), labels.count()
+        found = Point(labels, overall_entropy(edge_counts(edges, labels), blocks, nodes, n_edges, form), blocks)
+        return Result(labels, blocks, found.entropy, Bracket([Point(), found, Point()]))
     if resume is None:
         labels = cut(identity_labels(edges, truth), "labels")
         nodes = labels.count()

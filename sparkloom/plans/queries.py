@@ -342,7 +342,7 @@ def sbp_sweep(spark, d):
 
 def sbp_partition(spark, d):
     """Blocks of nations by who buys from whom."""
-    return search.partition(nation_edges(spark, d), seed=1, batches=2, most_sweeps=4).labels
+    return search.partition(nation_edges(spark, d), seed=1).labels
 
 
 def sbm_generate(spark, d):
