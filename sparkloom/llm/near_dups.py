@@ -250,7 +250,7 @@ def compare_clusters(clustered: DataFrame, texts: DataFrame, words: int, percent
         kind = group.schema.field("id").type
         return pa.table([pa.array([a for a, _ in found], kind), pa.array([b for _, b in found], kind)], ["a", "b"])
 
-    return dealt.groupBy("cluster", "x", "y").applyInArrow(compare, f"a {kinds['id']}, b {kinds['id']}")
+    return dealt.repartition("cluster", "x", "y").groupBy("cluster", "x", "y").applyInArrow(compare, f"a {kinds['id']}, b {kinds['id']}")
 
 
 def link_classes(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -291,7 +291,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     firsts = full.groupBy("digest").agg(F.min("id").alias("id"))
     classes = full.drop("digest").join(firsts.select("id").distinct(), "id", "left_semi")
     labels = link_classes(classes, rows, words, percent)
-    named = firsts.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    # written, so that the join reads plain shuffles: a group of copies of any size is then split by adaptive execution
+    named = materialise(firsts.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component")), "named")
     # a repeated key may stand in several classes, which it joins
     own = full.select("id", "digest").join(named, "digest").groupBy("id").agg(F.min("component").alias("component"))
     out = found.select("id", "n_shingles").join(own, "id", "left")

@@ -19,7 +19,6 @@ empty result; only the columns named are read.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import random
 import re
@@ -248,7 +247,7 @@ class Scanner:
                 found[i].append((a, 3, b))
 
 
-SCHEMA = "key long, n_assign long, n_access long, n_hex long, n_grammar long, base string, spans string"
+SCHEMA = "n_assign long, n_access long, n_hex long, n_grammar long, base string, spans string"
 
 
 def scan(docs: DataFrame, automata: dict[str, Automaton] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -275,7 +274,7 @@ def scan(docs: DataFrame, automata: dict[str, Automaton] | None = None, key: str
 
         return step
 
-    return arrow_map(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), make, SCHEMA).withColumnRenamed("key", key)
+    return arrow_map(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), make, f"key {dict(docs.dtypes)[key]}, {SCHEMA}").withColumnRenamed("key", key)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,9 +28,10 @@ def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(300, 340)] + [(400, 400 + i) for i in range(1, 60)] + [(5, 5)]
     expected = union(500, links)
-    found = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     linked = {x for a, b in links if a != b for x in (a, b)}
-    assert found == {x: expected[x] for x in linked}
+    frame = spark.createDataFrame(links, "a long, b long").repartition(6)
+    for most in (1000, 60):  # in one task, and by star steps
+        assert {r["id"]: r["component"] for r in components(frame, links_a_task=most).collect()} == {x: expected[x] for x in linked}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 

@@ -94,8 +94,6 @@ def test_byte_bpe_as_columns(spark, bpe):
     path, own = bpe
     words = ["", "a", " the", "Zürich", "漢字", "unbelievable", "  ", "aaaaaaaa"]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", byte_bpe.fold_column(F.col("w"), byte_bpe.read_ranks(path)).alias("ids"))
-    import base64  # noqa: F401
-
     fold = byte_bpe.RankFold(byte_bpe.read_ranks(path))
     assert {r["w"]: list(r["ids"]) for r in rows.collect()} == {w: fold.fold_one(w.encode()) if w else [] for w in words}
 
