@@ -46,13 +46,14 @@ def test_planted_blocks_are_found(spark, seed):
     assert m["pair_precision"] >= 0.9 and m["pair_recall"] >= 0.9
 
 
-def test_distributed_search_and_isolated_nodes(spark):
+def test_distributed_step_and_isolated_nodes(spark):
     edges, label = planted(10, 2, 4, inside=0.9, outside=0.05)
     frame = spark.createDataFrame(edges, "src long, dst long, weight long")
     truth = spark.createDataFrame([*label.items(), (99, 7)], "node long, block long")
-    found = search.partition(frame, truth, seed=1, batches=1, most_sweeps=1, local=False)
-    assert found.labels.count() == 11
-    assert found.entropy <= state.overall_entropy(state.edge_counts(frame, state.identity_labels(frame, truth)), 11, 11, float(len(edges)))
+    labels = state.identity_labels(frame, truth)
+    start = search.Point(labels, state.overall_entropy(state.edge_counts(frame, labels), 11, 11, float(len(edges))), 11)
+    found = search.step(frame, start, 5, 11, float(len(edges)), 5e-4, seed=1, batches=1, most_sweeps=1)
+    assert found.labels.count() == 11 and found.blocks <= 6 and found.entropy < start.entropy
 
 
 def test_pieces_end_like_the_whole(spark):
