@@ -36,7 +36,7 @@ from sparkloom.llm.words import hashes
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Words with more bytes are folded one at a time.
 WIDE = 64
-CACHED = 400_000
+CACHED = 200_000
 SEGMENT = 1 << 20
 SAFE_CUT = re.compile(r"(?<=[A-Za-z.,]) (?=[A-Za-z])")
 NONE = np.int32(2**31 - 1)
