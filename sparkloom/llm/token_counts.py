@@ -4,7 +4,7 @@ A cache row is keyed by the digest of a text's normalised content and the digest
 the counts. A call
 
 1. digests every text (JVM only, the texts do not move),
-2. joins the digests with the cache and picks one document for each distinct digest that the cache misses,
+2. picks one document for each distinct digest and joins the digests with the cache for those that it misses,
 3. fetches the texts of those documents alone by a join on content and key together, which no group of copies can
    skew, encodes them and appends the counts to the cache,
 4. joins the digests with the cache.
@@ -27,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import arrow_map, shared_dir, table
+from sparkloom.llm.common import arrow_map, materialise, shared_dir, table
 
 #: Documents over so many tokens are marked.
 LIMIT = 4096
@@ -96,11 +96,13 @@ def token_counts(docs: DataFrame, path: str, cache: str, key: str = "doc_id", te
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     digested = rows.withColumn("content", content_digest(F.col("text")))
     digests = digested.select("key", "content")
-    missing = digests.join(read_cache(spark, cache, version), "content", "left_anti").groupBy("content").agg(F.min("key").alias("first_key"))
+    # copies are counted together before they are shuffled, so they are no hot key of the join
+    missing = digests.groupBy("content").agg(F.min("key").alias("first_key")).join(read_cache(spark, cache, version), "content", "left_anti")
     # the small side is built: documents stream past it and are neither sorted nor spilt
     texts = digested.join(missing.hint("shuffle_hash"), (digested["content"] == missing["content"]) & digested["key"].eqNullSafe(missing["first_key"]), "left_semi")
     encode_misses(texts, path).write.mode("append").parquet(cache)
-    found = digests.join(read_cache(spark, cache, version), "content")
+    # written, so that the join reads plain shuffles: a group of copies of any size is then split by adaptive execution
+    found = digests.join(materialise(read_cache(spark, cache, version), "counts"), "content")
     return found.select(F.col("key").alias(key), "n_bytes", "n_tokens")
 
 
