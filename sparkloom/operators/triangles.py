@@ -80,7 +80,9 @@ def k_counts(edges: DataFrame, cap: int | None = None) -> DataFrame:
 
     A triangle can be in a clique of k only if each corner is in C(k - 1, 2) triangles and each side in k - 2.
     """
-    found = triangles(edges)
+    from sparkloom.plans.shared import cut
+
+    found = cut(triangles(edges), "triangles")  # used by six joins
     corner, side = vertex_degrees(found), edge_degrees(found)
     t = found
     for n in "abc":

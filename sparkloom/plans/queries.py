@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.columns import xlogx
 from sparkloom.operators import kronecker, matrix, network, triangles
 from sparkloom.operators.blocks import evaluate, generate, merges, moves, search, state
+from sparkloom.plans.shared import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +26,10 @@ def co_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def co_part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same without weights."""
-    return co_parts(spark, sf_dir).select("a", "b")
+    """The same without weights, written once, as every query reads it several times."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
+    pairs = items.select("o", F.col("p").alias("a")).join(items.select("o", F.col("p").alias("b")), "o").where("a < b")
+    return cut(pairs.select("a", "b").distinct(), "co_parts")
 
 
 def co_part_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,7 +321,7 @@ def arrival_ids(spark, d):
 
 def stream_block_counts(spark, d):
     """The block matrix of the sales fed as a stream of the whole table, all edges so far."""
-    from sparkloom.plans.shared import cut, shared_dir
+    from sparkloom.plans.shared import shared_dir
     from sparkloom.streaming.partition import running_counts
 
     edges = cut(sales(spark, d), "stream")
