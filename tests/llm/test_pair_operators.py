@@ -155,3 +155,33 @@ def test_vector_recall_is_measured(spark):
     frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(both)], "vec_id long, embedding array<double>, label int")
     found = vectors.near_vectors(frame).where("n_links > 0").count()
     assert linked > 1000 and found >= 2 * 0.99 * linked
+
+
+def concentrated(n, seed=4):
+    """Pairs at a cosine of 0.935 in one label whose mean cosine is 0.7: each pair twice ``n`` rows apart."""
+    rng = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    axis = np.zeros(64)
+    axis[0] = 0.7**0.5
+    side = lambda v: np.hstack([np.zeros((n, 1)), unit(v)])
+    one = side(rng.standard_normal((n, 63)))
+    other = side(rng.standard_normal((n, 63)))
+    other = other - (other * one).sum(1, keepdims=True) * one
+    around = (0.935 - 0.7) / 0.3
+    two = around * one + (1 - around**2) ** 0.5 * unit(other)
+    return np.vstack([axis + 0.3**0.5 * one, axis + 0.3**0.5 * two])
+
+
+@pytest.mark.parametrize("exact", [vectors.EXACT, 1000])
+def test_vectors_of_a_concentrated_label(spark, exact):
+    rows = concentrated(6000)
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int").repartition(8)
+    passes = None if exact > 12000 else vectors.passes_for(12000, 0.7, 0.93, vectors.WINDOW)
+    found = {r["vec_id"]: r["component_id"] for r in vectors.near_vectors(frame, passes=passes, exact=exact).collect()}
+    recall = np.mean([found[i] == found[i + 6000] for i in range(6000)])
+    assert recall == 1 if exact > 12000 else recall > 0.999
+
+
+def test_passes_follow_size_and_spread():
+    few, many, close = (vectors.passes_for(n, spread, 0.93, vectors.WINDOW) for n, spread in ((500_000, 0.0), (5_000_000, 0.0), (5_000_000, 0.4)))
+    assert 24 < few < many < close
