@@ -6,7 +6,10 @@ and a letter. For each format a prefix tree of its examples is folded by state m
 relative frequencies of their ends and of each next character differ by no more than a Hoeffding bound, and so do those
 of all states below them (red-blue order, as in ALERGIA). The automaton of everyday tokens is learnt alike. A candidate's
 score is its best format's log2 likelihood a character over that of the everyday automaton; at ``THRESHOLD`` and above
-the run is a ``grammar`` span, unless a base span covers it.
+the run is a ``grammar`` span, unless a base span covers it. In a run that falls short, the parts from one separator
+(``+ / _ . = -``) to another are scored alike, as a credential may stand in an assignment, a URL or a path; of parts that
+overlap, the one with the most bits over the threshold is the span, widened by those that follow a format throughout. All parts are scored in one walk along the run: parts
+that have brought both automata to the same states have the same future, so only the best of them goes on.
 
 The examples are labelled by construction: a seeded generator writes them from the publicly documented formats, so no
 real credential is kept here. ``learn`` takes any other labelled strings.
@@ -19,6 +22,7 @@ empty result; only the columns named are read.
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
@@ -48,6 +52,8 @@ DIGIT[list(b"0123456789")] = True
 LETTER = np.zeros(256, bool)
 LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
 
+SEPARATORS = frozenset("+/_.=-")
+
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
@@ -190,6 +196,69 @@ def format_score(automata: dict[str, Automaton], text: str) -> float:
     return (best - automata["everyday"].likelihood(text)) / max(1, len(text))
 
 
+def part_totals(form: Automaton, everyday: Automaton, text: str) -> list[tuple[float, int, int, bool]]:
+    """``total, start, stop, clean`` of the best parts that end at each separator and reach the threshold.
+
+    A part's total is its bits over everyday tokens less ``THRESHOLD`` a character; it is clean if the format has seen each
+    character in its place. Open parts are kept by the states of both automata, by being clean and by what they lack: a digit,
+    a letter, the least length.
+    """
+    found, size = [], len(text)
+    parts: dict[tuple, tuple[float, int]] = {}
+    for at, c in enumerate(text):
+        parted = c in SEPARATORS
+        if at == 0 or text[at - 1] in SEPARATORS:
+            held = parts.get((0, 0, True, False, False, 0))
+            if held is None or held[0] < 0:
+                parts[0, 0, True, False, False, 0] = (0.0, at)
+        digit, letter = "0" <= c <= "9", "a" <= c <= "z" or "A" <= c <= "Z"
+        moved: dict[tuple, tuple[float, int]] = {}
+        for (f, e, clean, has_digit, has_letter, length), (total, start) in parts.items():
+            seen = form.step[f].get(c)
+            gain, f = seen or (form.other[f], 0)
+            cost, e = everyday.step[e].get(c) or (everyday.other[e], 0)
+            key = (f, e, clean and seen is not None, has_digit or digit, has_letter or letter, min(length + 1, MIN_RUN))
+            total += gain - cost - THRESHOLD
+            held = moved.get(key)
+            if held is None or held[0] < total:
+                moved[key] = (total, start)
+        parts = moved
+        if parted or at + 1 == size or text[at + 1] in SEPARATORS:
+            ends = [
+                (total + form.stop[f] - everyday.stop[e], start, at + 1, clean)
+                for (f, e, clean, has_digit, has_letter, length), (total, start) in parts.items()
+                if has_digit and has_letter and length == MIN_RUN
+            ]
+            for kind in (False, True):
+                best = max((x for x in ends if x[3] == kind), default=(-1.0,))
+                if best[0] >= 0:
+                    found.append(best)
+    return found
+
+
+def credential_parts(automata: dict[str, Automaton], text: str) -> list[tuple[int, int]]:
+    """Parts of ``text`` between separators that reach the threshold, ``start, stop``; none overlap."""
+    spans, todo = [], [(0, len(text))]
+    while todo:
+        low, high = todo.pop()
+        if high - low < MIN_RUN:
+            continue
+        found = [x for name, a in automata.items() if name != "everyday" for x in part_totals(a, automata["everyday"], text[low:high])]
+        taken: list[tuple[int, int]] = []
+        for _, a, b, clean in sorted(found, reverse=True):
+            k = bisect.bisect_left(taken, b, key=lambda span: span[0])  # those before start before b
+            first = bisect.bisect_right(taken, a, key=lambda span: span[1])  # those from here on end after a
+            if first == k:
+                taken.insert(k, (a, b))
+            elif clean and k - first == 1:  # the whole of a credential that holds separators itself
+                taken[first] = (min(a, taken[first][0]), max(b, taken[first][1]))
+        if taken:  # a part that an overlapping better one hid may have a next best beside it
+            edges = [0, *(x for span in taken for x in span), high - low]
+            todo += [(low + a, low + b) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+            spans += [(low + a, low + b) for a, b in taken]
+    return sorted(spans)
+
+
 class Scanner:
     """Finds the spans of a batch of texts."""
 
@@ -243,8 +312,13 @@ class Scanner:
             a, b = low - int(at[i]), high - int(at[i])
             if any(s <= a and b <= e for s, _, e in found[i]):
                 continue
-            if format_score(self.automata, data[low:high].decode("ascii")) >= THRESHOLD:
+            run = data[low:high].decode("ascii")
+            if format_score(self.automata, run) >= THRESHOLD:
                 found[i].append((a, 3, b))
+            elif not SEPARATORS.isdisjoint(run):
+                for s, e in credential_parts(self.automata, run):
+                    if not any(x <= a + s and a + e <= y for x, _, y in found[i]):
+                        found[i].append((a + s, 3, a + e))
 
 
 SCHEMA = "n_assign long, n_access long, n_hex long, n_grammar long, base string, spans string"

@@ -123,6 +123,26 @@ def test_grammars_generalise():
     assert automata["access_key"].states < 25  # of 2,500 in the prefix tree
 
 
+def test_embedded_credentials():
+    scanner = secrets.Scanner(secrets.learn(secrets.labelled_credentials()))
+    fresh = secrets.labelled_credentials(40, seed=99)
+    everyday = fresh.pop("everyday")
+
+    def spans(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return scanner.scan(raw, np.array([0, len(raw)]))[0]
+
+    for before, after in (("github_key=", ""), ("github_access_key=", ""), ("auth.header.value=", ""), ("//hooks.example.com/services/", ""), ("/srv/", "/tail.txt")):
+        for name in ("forge_token", "payment_key", "chat_token", "maps_key", "access_key"):
+            hit = [any(s <= len(before) and e >= len(before) + len(x) for s, _, e in spans(before + x + after)) for x in fresh[name]]
+            assert np.mean(hit) > 0.9, (before, name)
+    one, two = fresh["forge_token"][:2]
+    found = spans(f"a/{one}/some-words/{two}/b")
+    assert len(found) == 2 and all(s <= low and high <= e for (s, _, e), (low, high) in zip(found, ((2, 42), (54, 94)), strict=True))
+    assert np.mean([bool(spans(x)) for x in everyday]) < 0.1
+    assert spans("/".join(["abc1"] * 20_000)) == []  # long runs take time in proportion
+
+
 def test_licenses(docs):
     found = by_text(docs, licenses.scan(docs), "n_words", "n_base", "first_word", "last_word", "base_labels")
     phrases = [(p.encode().split(), label) for p, label in licenses.PHRASES]
