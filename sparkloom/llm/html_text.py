@@ -9,7 +9,8 @@ forms, menus, footers, adverts, comments, ...) never get text. For every node th
 with C characters, T tags, LC and LT those inside links, and Cb, LCb those of the body. The densities of a node's
 children are summed, and the subtree with the greatest sum is the article; where it lies in an ``article`` or ``main``
 element, that element is. The least density on the path from there to the body is the threshold: a child below it whose
-text is mostly links is left out.
+text is mostly links is left out. Where there is no such element, the densest node of every other subtree that reaches the
+threshold is of the article too, and so are the blocks of running text beside them.
 
 Blocks are trimmed, white space inside a block is one space, character references are decoded, and blocks are joined in
 page order by two line feeds.
@@ -45,6 +46,8 @@ DROPPED_NAMES = frozenset("ad ads advert adverts advertisement advertising spons
 HEADER_NAMES = frozenset("header masthead topbar".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCKS - frozenset("td th tr tbody thead tfoot body html caption".split())
+#: What stands between the sections of an article and belongs to it.
+RUNNING = frozenset("h1 h2 h3 h4 h5 h6 p ul ol dl pre blockquote figure table b i em strong span".split())
 #: A start tag ends an open element of these, unless one of the second set is between.
 IMPLIED = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -213,17 +216,47 @@ def set_densities(tree: Tree) -> None:
             n.density = n.chars / tags * math.log(max(1.0, n.chars / links * tags / link_tags)) / max(0.5, math.log(base))
 
 
-def article(tree: Tree) -> list[tuple[int, int]]:
-    """The slices of ``pieces`` that the article consists of."""
-    set_densities(tree)
-    best, most = tree.body, -1.0
-    todo = [tree.body]
+def densest(top: Node) -> Node:
+    """The node of a subtree whose children's densities have the greatest sum."""
+    best, most = top, -1.0
+    todo = [top]
     while todo:
         n = todo.pop()
         todo += reversed(n.children)
         total = sum(c.density for c in n.children)
         if total > most:
             best, most = n, total
+    return best
+
+
+def marked(tree: Tree, best: Node, threshold: float) -> list[Node]:
+    """``best`` and the densest node of every other subtree that reaches the threshold, from the body down."""
+    found, held, above = [best], {id(best)}, set()
+
+    def note(n: Node) -> None:
+        while n is not None:
+            above.add(id(n))
+            n = n.parent
+
+    note(best)
+    todo = list(tree.body.children)
+    while todo:
+        n = todo.pop()
+        if id(n) in held:
+            continue
+        if id(n) not in above and n.chars and n.density >= threshold and 2 * n.link_chars <= n.chars:
+            n_best = densest(n)
+            found.append(n_best)
+            held.add(id(n_best))
+            note(n_best)
+        todo += n.children
+    return found
+
+
+def article(tree: Tree) -> list[tuple[int, int]]:
+    """The slices of ``pieces`` that the article consists of."""
+    set_densities(tree)
+    best = densest(tree.body)
     path, n = [], best
     while n is not None:
         path.append(n)
@@ -234,14 +267,34 @@ def article(tree: Tree) -> list[tuple[int, int]]:
     for n in path[1:]:
         if n.tag in ("article", "main"):
             best = n
-    if best.tag not in ("article", "main") and best is not tree.body and best.parent is not None and not best.children:
+    named = best.tag in ("article", "main")
+    if not named and best is not tree.body and best.parent is not None and not best.children:
         best = best.parent
-    cut = [(c.start, c.stop) for c in best.children if c.density < threshold and 2 * c.link_chars > c.chars > 0]
-    slices, at = [], best.start
-    for low, high in cut:
+    nodes = [best] if named or best is tree.body else marked(tree, best, threshold)
+    chosen = {id(n) for n in nodes}
+    paths = []
+    for n in nodes:
+        line = [n]
+        while line[-1] is not tree.body and line[-1].parent is not None:
+            line.append(line[-1].parent)
+        paths.append(line[::-1])
+    # the lowest node that holds all marked ones; of the rest of it, blocks of running text stay
+    top = next(level[0] for level in reversed(list(zip(*paths))) if len({id(n) for n in level}) == 1)
+    above = {id(n) for line in paths for n in line}
+    cut, todo = [], [top]
+    while todo:
+        n = todo.pop()
+        if id(n) in chosen:
+            cut += [(c.start, c.stop) for c in n.children if id(c) not in above and c.density < threshold and 2 * c.link_chars > c.chars > 0]
+            todo += [c for c in n.children if id(c) in above]
+        else:
+            todo += [c for c in n.children if id(c) in above]
+            cut += [(c.start, c.stop) for c in n.children if id(c) not in above and (c.tag not in RUNNING or 2 * c.link_chars > c.chars > 0)]
+    slices, at = [], top.start
+    for low, high in sorted(cut):
         slices.append((at, low))
         at = high
-    return [*slices, (at, best.stop)]
+    return [*slices, (at, top.stop)]
 
 
 def main_text(page: str | None) -> str:

@@ -204,6 +204,15 @@ def test_html_text():
         assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(("sections", "paragraphs"), [(2, 4), (3, 5)])
+def test_html_sections_with_wrappers_of_their_own(sections, paragraphs):
+    said = [[f"{i} {k} " + "word " * 58 + "end." for k in range(paragraphs)] for i in range(sections)]
+    body = "".join(f"<h2>Part {i}</h2><div>" + "".join(f"<p>{p}</p>" for p in ps) + "</div>" for i, ps in enumerate(said))
+    menu = "<div>" + "".join(f"<a href='/{i}'>Link {i}</a> " for i in range(20)) + "</div>"
+    expected = "\n\n".join("\n\n".join([f"Part {i}", *ps]) for i, ps in enumerate(said))
+    assert html_text.main_text(f"<body>{menu}<div>{body}</div>{menu}</body>") == expected
+
+
 def test_html_pages(spark):
     import html
 
