@@ -1,8 +1,9 @@
 """Main text of web pages by composite text density.
 
 A page is read into a tree by a tolerant tokenizer: end tags may be missing, attributes may hold ``>``, raw text ends
-at its own end tag, and a page may be cut off anywhere. Elements that hold no article by their kind or name (scripts,
-forms, menus, footers, adverts, comments, ...) never get text. For every node the composite density is computed,
+at its own end tag, and a page may be cut off anywhere. Elements that hold no article by their kind (scripts, forms, menus,
+...) never get text, nor do blocks with such a whole class, id or role (footers, adverts, comments, ...), unless one other
+than comments holds most of the body's text. For every node the composite density is computed,
 
     C/T * log(C/LC * T/LT) / log(ln(C/nonLC * LC + LCb/Cb * C + e))
 
@@ -40,10 +41,14 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold article text.
 DROPPED = frozenset("head script style textarea title xmp iframe noembed noframes noscript template svg math canvas object audio video nav aside footer form button select option label fieldset input dialog menu map".split())
-#: The same by a part of the class, id or role.
+#: The same by a class, id or role: one of these words, or several with or without ``PLAIN_NAMES``.
 DROPPED_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert share sharing social related recommended newsletter subscribe subscription popup modal pagination pager login signup search contentinfo complementary widget".split())
 #: Dropped unless inside an article: a page's header, not an article's.
 HEADER_NAMES = frozenset("header masthead topbar".split())
+#: Of these, those that don't hold the article even where they hold most of the text.
+COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond".split())
+PLAIN_NAMES = frozenset("area bar block bottom box container content inner items left links list main outer page panel right section site sub top wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCKS - frozenset("td th tr tbody thead tfoot body html caption".split())
 #: What stands between the sections of an article and belongs to it.
@@ -64,13 +69,14 @@ BARRIER = frozenset("article aside body button div dl fieldset footer form heade
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "start", "stop", "chars", "tags", "link_chars", "link_tags", "density", "within")
+    __slots__ = ("tag", "parent", "children", "start", "stop", "chars", "tags", "link_chars", "link_tags", "density", "within", "named")
 
     def __init__(self, tag: str, parent: Node | None, start: int):
         self.tag, self.parent, self.start, self.stop = tag, parent, start, start
         self.children: list[Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
+        self.named = ""
         self.within = tag in ("article", "main") or parent is not None and parent.within
         if parent is not None:
             parent.children.append(self)
@@ -85,13 +91,25 @@ def unwanted(tag: str, attributes: str, within: bool, top: bool) -> bool:
             name, value = name.lower(), "".join(values).lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN_STYLE.search(value):
                 return True
-            if name in ("class", "id", "role"):
-                parts = set(NAME_PART.findall(value))
-                if parts & DROPPED_NAMES or parts & HEADER_NAMES and not within:
-                    return True
     return False
 
 
+def named(tag: str, attributes: str, within: bool) -> str:
+    """The name by which a block is likely no article, if any; headings and inline text are not judged by name."""
+    if not attributes or tag not in BLOCKS or tag in HEADINGS or tag in ("body", "article", "main"):
+        return ""
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name not in ("class", "id", "role") or name == "id" and tag == "section" and within:  # the last is a heading's slug
+            continue
+        for token in "".join(values).lower().split():
+            parts = set(NAME_PART.findall(token))
+            telling = parts - PLAIN_NAMES
+            if telling and (telling <= DROPPED_NAMES or not within and telling <= DROPPED_NAMES | HEADER_NAMES):
+                return token
+    return ""
+
+
 class Tree:
     """The nodes of a page, and its text pieces in order; a None piece is the edge of a block."""
 
@@ -103,6 +121,43 @@ class Tree:
         self._read(page)
         while self._open:
             self._pop()
+        self._prune()
+
+    def _prune(self) -> None:
+        """Named elements go, unless they hold most of the body's text and are no comments: there the densities decide.
+
+        Where the page has an article or main element with text, it has to be around the named one or inside it.
+        """
+        whole, todo, holders, told = self.body.chars, [self.root], set(), False
+        while todo:
+            n = todo.pop()
+            todo += n.children
+            if n.tag in ("article", "main") and n.chars:
+                told, up = True, n
+                while up is not None:
+                    holders.add(id(up))
+                    up = up.parent
+
+        def stays(c: Node) -> bool:
+            free = not told or c.within or id(c) in holders
+            return free and 2 * c.chars > whole and COMMENT_NAMES.isdisjoint(NAME_PART.findall(c.named))
+
+        todo = [self.root]
+        while todo:
+            n = todo.pop()
+            gone = [c for c in n.children if c.named and not stays(c)]
+            for c in gone:
+                self.pieces[c.start : c.stop] = [None] * (c.stop - c.start)
+                up = n
+                while up is not None:
+                    up.chars -= c.chars
+                    up.tags -= c.tags + 1
+                    up.link_chars -= c.link_chars
+                    up.link_tags -= c.link_tags
+                    up = up.parent
+            if gone:
+                n.children = [c for c in n.children if c not in gone]
+            todo += n.children
 
     def _pop(self) -> None:
         node = self._open.pop()
@@ -199,6 +254,7 @@ class Tree:
             if tag in BLOCKS:
                 self.pieces.append(None)
             self._open.append(Node(tag, top, len(self.pieces)))
+            self._open[-1].named = named(tag, attributes, top.within)
 
 
 def set_densities(tree: Tree) -> None:

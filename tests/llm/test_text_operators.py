@@ -213,6 +213,17 @@ def test_html_sections_with_wrappers_of_their_own(sections, paragraphs):
     assert html_text.main_text(f"<body>{menu}<div>{body}</div>{menu}</body>") == expected
 
 
+def test_html_names_are_whole():
+    one, two = "First paragraph " + "word " * 40 + "end.", "Second paragraph " + "word " * 40 + "end."
+    inner = f"<h2 id='related-work'>Related</h2><p>{one}</p><h2 id='search'>Search <span class='share'>more</span></h2><p>{two}</p>"
+    expected = f"Related\n\n{one}\n\nSearch more\n\n{two}"
+    for start in ("<div class='content has-sidebar'>", "<div id='page' class='no-comments'>", "<div class='widget'>", "<article>"):
+        assert html_text.main_text(f"<body>{start}{inner}<div class='share-bar'>Tell all</div>") == expected
+    comments = "<div class='comments-list'>" + f"<p>{one}</p>" * 9 + "</div>"
+    assert html_text.main_text(f"<body><div>{inner}</div>{comments}") == expected
+    assert html_text.main_text(f"<body><article><section id='search'>{inner}</section><ul class='social'><li>x</ul></article>") == expected
+
+
 def test_html_pages(spark):
     import html
 
