@@ -153,20 +153,6 @@ def test_licenses(docs):
         assert found[i if i != 4 else None] == (len(w), len(at), min(first, default=None), max(first, default=None), ",".join(sorted({x for _, x in at})))
 
 
-def test_license_templates_with_changes():
-    scanner = licenses.LicenseScanner()
-
-    def labels(text):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        return licenses.summary(scanner, *scanner.scan(raw, np.array([0, len(raw)]))[0])[5]
-
-    for label, text in licenses.TEMPLATES:
-        assert label in labels(f"before it {text} and after").split(",")
-    mit = licenses.TEMPLATES[0][1].replace("the Software", "the Program", 2)
-    assert "mit" in labels(mit)
-    assert labels("permission to use the software for any purpose is not what this says") == ""
-
-
 def test_suffix_automaton_is_brute_force():
     import random
 
@@ -184,8 +170,8 @@ def test_suffix_automaton_is_brute_force():
                     break
             assert (s >= 0) == (x in runs)
             if s >= 0:
-                for k, end in a.places[s].items():
-                    assert tuple(sequences[k][end - n : end]) == x
+                ends = {(k, j) for k, y in enumerate(sequences) for j in range(n, len(y) + 1) if tuple(y[j - n : j]) == x}
+                assert {(k, j) for k, js in a.places[s].items() for j in js} == ends
 
 
 PAGE = """<html><head><title>T</title><script>if (a < b) "<p>"</script></head><body><nav><a href="/">Home</a> <a href="/x">News</a></nav>
