@@ -1,15 +1,19 @@
 """Secret scans: fixed patterns, and credential formats learnt by grammar inference.
 
 Three patterns (``assign``, ``access``, ``hex``) give the base spans. On top of them, probabilistic automata learnt from
-labelled credentials score every other candidate, a run of at least ``MIN_RUN`` credential characters that holds a digit
-and a letter. For each format a prefix tree of its examples is folded by state merging: two states are merged when the
-relative frequencies of their ends and of each next character differ by no more than a Hoeffding bound, and so do those
-of all states below them (red-blue order, as in ALERGIA). The automaton of everyday tokens is learnt alike. A candidate's
-score is its best format's log2 likelihood a character over that of the everyday automaton; at ``THRESHOLD`` and above
-the run is a ``grammar`` span, unless a base span covers it. In a run that falls short, the parts from one separator
-(``+ / _ . = -``) to another are scored alike, as a credential may stand in an assignment, a URL or a path; of parts that
-overlap, the one with the most bits over the threshold is the span, widened by those that follow a format throughout. All parts are scored in one walk along the run: parts
-that have brought both automata to the same states have the same future, so only the best of them goes on.
+labelled credentials score every other candidate, a run of credential characters. For each format a prefix tree of its
+examples is folded by state merging: two states are merged when the relative frequencies of their ends and of each next
+character differ by no more than a Hoeffding bound, and so do those of all states below them (red-blue order, as in ALERGIA).
+The automaton of everyday tokens is learnt alike from kinds of characters (small and capital letters, digits, and each
+separator), letters and digits of a kind being alike likely. A candidate's score is its best format's log2 likelihood over
+that of the everyday automaton, a character, or a ``WEIGHED``-th of it for runs of fewer characters, so that a short run needs
+as much evidence as one of that length. At ``THRESHOLD`` and above the run is a ``grammar`` span, unless a base span covers it.
+
+Every run is scored whole, all runs of a batch at once by tables of the automata. In a run of ``WEIGHED`` characters or more
+that falls short, the parts from one separator (``+ / _ . = -``) to another are scored alike, as a credential may stand in an
+assignment, a URL or a path; of parts that overlap, the one with the most bits over the threshold is the span, widened by
+those that follow a format throughout. All parts are scored in one walk along the run: parts that have brought both automata
+to the same states have the same future, so only the best of them goes on.
 
 The examples are labelled by construction: a seeded generator writes them from the publicly documented formats, so no
 real credential is kept here. ``learn`` takes any other labelled strings.
@@ -17,7 +21,7 @@ real credential is kept here. ``learn`` takes any other labelled strings.
 Texts are scanned as UTF-8 bytes, whole; the patterns are ASCII, and spans are reported in code points.
 
 Cases: a null or empty text has no spans; a null id is kept; repeated rows give repeated results; an empty table gives an
-empty result; only the columns named are read.
+empty result; a very long text or run takes time in proportion; only the columns named are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -39,29 +43,36 @@ KINDS = ("assign", "access", "hex", "grammar")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-MIN_SECRET, MIN_ACCESS, MIN_HEX, MIN_RUN = 6, 20, 24, 16
-#: Bits a character by which a format must beat everyday tokens.
-THRESHOLD = 1.1
+MIN_SECRET, MIN_ACCESS, MIN_HEX = 6, 20, 24
+#: Bits a character by which a format must beat everyday tokens, and the characters that a shorter run counts as.
+THRESHOLD, WEIGHED = 0.8, 16
+#: Confidence of the tests by which states are kept apart: of formats, and of the everyday automaton.
+ALPHA, EVERYDAY_ALPHA = 0.05, 0.3
+#: Longer runs are scored one at a time.
+LONG_RUN = 256
 
 HEX_CLASS = np.zeros(256, bool)
 HEX_CLASS[list(b"0123456789abcdef")] = True
 RUN_CLASS = np.zeros(256, bool)
 RUN_CLASS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
-DIGIT = np.zeros(256, bool)
-DIGIT[list(b"0123456789")] = True
-LETTER = np.zeros(256, bool)
-LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
-
-SEPARATORS = frozenset("+/_.=-")
+SEPARATORS = "+-./=_"
+SEPARATOR_CLASS = np.zeros(256, bool)
+SEPARATOR_CLASS[list(SEPARATORS.encode())] = True
 
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ALPHABET = UPPER + LOWER + DIGITS + SEPARATORS
+#: The kind of a character, and the bits that tell it from others of its kind.
+KIND_OF = {c: kind[0] if len(kind) > 1 else kind for kind in (UPPER, LOWER, DIGITS, *SEPARATORS) for c in kind}
+KIND_BITS = {c: math.log2(len(kind)) for kind in (UPPER, LOWER, DIGITS, *SEPARATORS) for c in kind}
+#: Place of a byte in the alphabet.
+PLACE = np.zeros(256, np.int64)
+PLACE[list(ALPHABET.encode())] = np.arange(len(ALPHABET))
 
 
 def labelled_credentials(n: int = 160, seed: int = 7) -> dict[str, list[str]]:
     """``n`` examples of each format, by format; ``everyday`` holds the tokens that are no credentials."""
     rng = random.Random(seed)
     some = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
-    word = lambda: some(LOWER, rng.randint(2, 9))
     formats = {
         "access_key": lambda: "AKIA" + some(UPPER + "234567", 16),
         "forge_token": lambda: rng.choice(("ghp_", "gho_", "ghs_")) + some(UPPER + LOWER + DIGITS, 36),
@@ -72,32 +83,51 @@ def labelled_credentials(n: int = 160, seed: int = 7) -> dict[str, list[str]]:
         "hex_key": lambda: some(DIGITS + "abcdef", rng.choice((32, 40, 64))),
         "base64_key": lambda: some(UPPER + LOWER + DIGITS + "+/", 43) + "=",
     }
-    everyday = (
-        lambda: "-".join(word() for _ in range(rng.randint(2, 5))) + "-" + some(DIGITS, rng.randint(1, 4)),
-        lambda: "_".join(word() for _ in range(rng.randint(2, 5))) + some(DIGITS, rng.randint(1, 3)),
-        lambda: "/".join(word() for _ in range(rng.randint(2, 6))) + "/" + some(DIGITS, rng.randint(1, 6)),
-        lambda: ".".join(word() for _ in range(rng.randint(2, 4))) + "/" + word() + "/" + some(DIGITS, rng.randint(1, 5)),
+    found = {name: [make() for _ in range(n)] for name, make in formats.items()}
+    return found | {"everyday": everyday_tokens(5 * n // 2, seed)}
+
+
+def everyday_tokens(n: int, seed: int = 7) -> list[str]:
+    """``n`` tokens of each form that running text, code and paths have."""
+    rng = random.Random(seed)
+    some = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    number = lambda most: some(DIGITS, rng.randint(1, most))
+    part = lambda: some(LOWER, min(rng.randint(2, 9), rng.randint(2, 40)))
+    word = lambda: some(LOWER, rng.randint(1, 12) if rng.random() < 0.8 else rng.randint(12, 40))
+    joined = lambda sep, make, most: sep.join(make() for _ in range(rng.randint(2, most)))
+    end = lambda: rng.choice(("", "", "", ".", "=", "-"))
+    tail = lambda: rng.choice(("", "", rng.choice("-_/.=") + number(6), number(4)))
+    forms = (
+        lambda: word() + end(),
+        lambda: word().upper() + end(),
+        lambda: word().capitalize() + end(),
+        lambda: some(UPPER, rng.randint(2, 4)) + word() + end(),
+        lambda: joined("", lambda: part().capitalize(), 5) + rng.choice(("", number(4))),
+        lambda: number(30) if rng.random() < 0.5 else joined(rng.choice(".-/"), lambda: number(4), 5),
+        lambda: rng.choice(("", "+", "-", "=")) + number(4) + rng.choice(("", part(), part().upper())),
         lambda: f"{rng.randint(1990, 2040)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}T{rng.randint(0, 23):02d}.{rng.randint(0, 59):02d}.{rng.randint(0, 59):02d}",
-        lambda: some(DIGITS, rng.randint(16, 30)),
-        lambda: word() + word() + word() + some(DIGITS, rng.randint(1, 4)),
-        lambda: "".join(word().capitalize() for _ in range(rng.randint(2, 5))) + some(DIGITS, rng.randint(1, 4)),
-        lambda: "v" + ".".join(some(DIGITS, rng.randint(1, 3)) for _ in range(3)) + "-" + word() + "." + some(DIGITS, rng.randint(1, 2)),
-        lambda: "=" * rng.randint(2, 20) + word() + some(DIGITS, 2) + "-" * rng.randint(2, 20),
+        lambda: joined(rng.choice("-_/.="), part, 6) + tail(),
+        lambda: (joined(rng.choice("-_/.="), part, 6) + tail()).upper(),
+        lambda: joined(rng.choice("-_/."), lambda: part().capitalize(), 6) + end(),
+        lambda: "v" + ".".join(number(3) for _ in range(3)) + "-" + part() + "." + number(2),
+        lambda: "/" + "/".join(part() for _ in range(rng.randint(1, 5))) + rng.choice(("", "/", "." + some(LOWER, 3), "/" + number(6))),
+        lambda: rng.choice("-=_./+") * rng.randint(1, 40) + rng.choice(("", part() + number(2) + "-" * rng.randint(2, 20))),
     )
-    found = {name: [make() for _ in range(n)] for name, make in formats.items()}
-    return found | {"everyday": [make() for make in everyday for _ in range(n // 2)]}
+    return [make() for make in forms for _ in range(n)]
 
 
 class Automaton:
     """A probabilistic deterministic automaton: per state its passes, ends and, by character, next state and count."""
 
-    def __init__(self, examples: Iterable[str], alpha: float = 0.05):
+    def __init__(self, examples: Iterable[str], alpha: float = ALPHA, kinds: bool = False):
+        """kinds: learn from the kinds of characters."""
+        self.kinds = kinds
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [{}]
         self.ends = [0]
         self.passes = [0]
         for text in examples:
-            self._insert(text)
+            self._insert("".join(map(KIND_OF.__getitem__, text)) if kinds else text)
         self._reduce(math.sqrt(0.5 * math.log(2 / alpha)))
         self._score()
 
@@ -171,7 +201,11 @@ class Automaton:
         self.stop: list[float] = []
         for at in range(len(self.next)):
             whole = self.passes[at] + 1.0
-            self.step.append({c: (math.log2((k + 1 / 128) / whole), self.next[at][c]) for c, k in self.count[at].items()})
+            counts, after = self.count[at], self.next[at]
+            if self.kinds:
+                self.step.append({c: (math.log2((counts.get(kind, 0) + 1 / 128) / whole) - KIND_BITS[c], after.get(kind, 0)) for c, kind in KIND_OF.items()})
+            else:
+                self.step.append({c: (math.log2((k + 1 / 128) / whole), after[c]) for c, k in counts.items()})
             self.other.append(math.log2(1 / 128 / whole))
             self.stop.append(math.log2((self.ends[at] + 1 / 128) / whole))
 
@@ -185,50 +219,67 @@ class Automaton:
         return total + self.stop[at]
 
 
+class Tables:
+    """An automaton's reachable states as arrays: log2 probability and next state by state and character, and of ending."""
+
+    def __init__(self, automaton: Automaton):
+        order, number = [0], {0: 0}
+        for at in order:
+            for _, there in automaton.step[at].values():
+                if there not in number:
+                    number[there] = len(order)
+                    order.append(there)
+        self.bits = np.array([[automaton.step[at].get(c, (automaton.other[at], 0))[0] for c in ALPHABET] for at in order]).ravel()
+        self.after = np.array([[number[automaton.step[at].get(c, (0, 0))[1]] for c in ALPHABET] for at in order]).ravel() * len(ALPHABET)
+        self.stop = np.array([automaton.stop[at] for at in order])
+
+    def likelihoods(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Log2 probability of each run of ``codes``; sizes fall."""
+        at, total = np.zeros(len(starts), np.int64), np.zeros(len(starts))
+        live = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), "left")
+        for k, n in enumerate(live.tolist()):
+            place = at[:n] + codes[starts[:n] + k]
+            total[:n] += self.bits[place]
+            at[:n] = self.after[place]
+        return total + self.stop[at // len(ALPHABET)]
+
+
 def learn(examples: dict[str, list[str]]) -> dict[str, Automaton]:
     """An automaton for each label; ``everyday`` is the one that formats have to beat."""
-    return {name: Automaton(found) for name, found in examples.items()}
+    return {name: Automaton(found, EVERYDAY_ALPHA, True) if name == "everyday" else Automaton(found) for name, found in examples.items()}
 
 
 def format_score(automata: dict[str, Automaton], text: str) -> float:
     """Bits a character by which the likeliest format beats everyday tokens."""
     best = max(a.likelihood(text) for name, a in automata.items() if name != "everyday")
-    return (best - automata["everyday"].likelihood(text)) / max(1, len(text))
+    return (best - automata["everyday"].likelihood(text)) / max(WEIGHED, len(text))
 
 
 def part_totals(form: Automaton, everyday: Automaton, text: str) -> list[tuple[float, int, int, bool]]:
     """``total, start, stop, clean`` of the best parts that end at each separator and reach the threshold.
 
     A part's total is its bits over everyday tokens less ``THRESHOLD`` a character; it is clean if the format has seen each
-    character in its place. Open parts are kept by the states of both automata, by being clean and by what they lack: a digit,
-    a letter, the least length.
+    character in its place. Open parts are kept by the states of both automata, by being clean and by their length up to
+    ``WEIGHED``.
     """
     found, size = [], len(text)
     parts: dict[tuple, tuple[float, int]] = {}
     for at, c in enumerate(text):
-        parted = c in SEPARATORS
         if at == 0 or text[at - 1] in SEPARATORS:
-            held = parts.get((0, 0, True, False, False, 0))
-            if held is None or held[0] < 0:
-                parts[0, 0, True, False, False, 0] = (0.0, at)
-        digit, letter = "0" <= c <= "9", "a" <= c <= "z" or "A" <= c <= "Z"
+            parts[0, 0, True, 0] = (0.0, at)
         moved: dict[tuple, tuple[float, int]] = {}
-        for (f, e, clean, has_digit, has_letter, length), (total, start) in parts.items():
+        for (f, e, clean, length), (total, start) in parts.items():
             seen = form.step[f].get(c)
             gain, f = seen or (form.other[f], 0)
             cost, e = everyday.step[e].get(c) or (everyday.other[e], 0)
-            key = (f, e, clean and seen is not None, has_digit or digit, has_letter or letter, min(length + 1, MIN_RUN))
+            key = (f, e, clean and seen is not None, min(length + 1, WEIGHED))
             total += gain - cost - THRESHOLD
             held = moved.get(key)
             if held is None or held[0] < total:
                 moved[key] = (total, start)
         parts = moved
-        if parted or at + 1 == size or text[at + 1] in SEPARATORS:
-            ends = [
-                (total + form.stop[f] - everyday.stop[e], start, at + 1, clean)
-                for (f, e, clean, has_digit, has_letter, length), (total, start) in parts.items()
-                if has_digit and has_letter and length == MIN_RUN
-            ]
+        if c in SEPARATORS or at + 1 == size or text[at + 1] in SEPARATORS:
+            ends = [(total + form.stop[f] - everyday.stop[e] - THRESHOLD * (WEIGHED - length), start, at + 1, clean) for (f, e, clean, length), (total, start) in parts.items()]
             for kind in (False, True):
                 best = max((x for x in ends if x[3] == kind), default=(-1.0,))
                 if best[0] >= 0:
@@ -237,12 +288,10 @@ def part_totals(form: Automaton, everyday: Automaton, text: str) -> list[tuple[f
 
 
 def credential_parts(automata: dict[str, Automaton], text: str) -> list[tuple[int, int]]:
-    """Parts of ``text`` between separators that reach the threshold, ``start, stop``; none overlap."""
+    """Parts of ``text`` between separators that reach the threshold, ``start, stop``; none overlap or touch."""
     spans, todo = [], [(0, len(text))]
     while todo:
         low, high = todo.pop()
-        if high - low < MIN_RUN:
-            continue
         found = [x for name, a in automata.items() if name != "everyday" for x in part_totals(a, automata["everyday"], text[low:high])]
         taken: list[tuple[int, int]] = []
         for _, a, b, clean in sorted(found, reverse=True):
@@ -254,9 +303,29 @@ def credential_parts(automata: dict[str, Automaton], text: str) -> list[tuple[in
                 taken[first] = (min(a, taken[first][0]), max(b, taken[first][1]))
         if taken:  # a part that an overlapping better one hid may have a next best beside it
             edges = [0, *(x for span in taken for x in span), high - low]
-            todo += [(low + a, low + b) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+            todo += [(low + a, low + b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
             spans += [(low + a, low + b) for a, b in taken]
-    return sorted(spans)
+    joined: list[tuple[int, int]] = []
+    for a, b in sorted(spans):  # parts side by side are one credential
+        if joined and joined[-1][1] == a:
+            joined[-1] = (joined[-1][0], b)
+        else:
+            joined.append((a, b))
+    return joined
+
+
+class Covered:
+    """Tells whether an interval lies in one of some spans."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts, self.ends = [], []
+        for start, _, stop in sorted(spans):
+            self.starts.append(start)
+            self.ends.append(max(stop, self.ends[-1]) if self.ends else stop)
+
+    def holds(self, a: int, b: int) -> bool:
+        i = bisect.bisect_right(self.starts, a)
+        return i > 0 and self.ends[i - 1] >= b
 
 
 class Scanner:
@@ -264,6 +333,7 @@ class Scanner:
 
     def __init__(self, automata: dict[str, Automaton]):
         self.automata = automata
+        self.tables = {name: Tables(a) for name, a in automata.items()}
 
     def scan(self, raw: np.ndarray, at: np.ndarray) -> list[list[tuple[int, int, int]]]:
         """For each text its spans ``start, kind, end`` in bytes of the text, sorted; kinds by place in ``KINDS``."""
@@ -301,23 +371,52 @@ class Scanner:
                 p = data.find(needle, max(p + 1, int(at[i + 1]) - len(needle) + 1))
         return sorted(hit)
 
+    def scores(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """``format_score`` of each run."""
+        sizes, codes = stops - starts, PLACE[raw]
+        found = np.zeros(len(starts))
+        order = np.argsort(-sizes, kind="stable")
+        order = order[sizes[order] <= LONG_RUN]
+        # runs of up to eight bytes are scored once each
+        short = order[sizes[order] <= 8]
+        room = np.concatenate((raw, np.zeros(8, np.uint8)))
+        packed = room[starts[short][:, None] + np.arange(8)]
+        packed[np.arange(8) >= sizes[short][:, None]] = 0
+        _, first, back = np.unique(packed.view(np.uint64).ravel(), return_index=True, return_inverse=True)
+        once = np.sort(first)
+        rows = np.concatenate((order[: len(order) - len(short)], short[once]))
+        own_starts, own_sizes = starts[rows], sizes[rows]
+        best = np.full(len(rows), -np.inf)
+        for name, table in self.tables.items():
+            if name != "everyday":
+                np.maximum(best, table.likelihoods(codes, own_starts, own_sizes), out=best)
+        best -= self.tables["everyday"].likelihoods(codes, own_starts, own_sizes)
+        found[rows] = best / np.maximum(WEIGHED, own_sizes)
+        found[short] = found[short[first]][back]
+        for i in np.flatnonzero(sizes > LONG_RUN).tolist():
+            found[i] = format_score(self.automata, raw[starts[i] : stops[i]].tobytes().decode("ascii"))
+        return found
+
     def _candidates(self, raw: np.ndarray, at: np.ndarray, data: bytes, found: list) -> None:
-        starts, stops = runs(RUN_CLASS[raw], at, MIN_RUN)
+        starts, stops = runs(RUN_CLASS[raw], at, 1)
         if not len(starts):
             return
-        digits, letters = (np.concatenate(([0], np.cumsum(cls[raw], dtype=np.int64))) for cls in (DIGIT, LETTER))
-        mixed = (digits[stops] > digits[starts]) & (letters[stops] > letters[starts])
-        for low, high in zip(starts[mixed].tolist(), stops[mixed].tolist(), strict=True):
+        whole = self.scores(raw, starts, stops) >= THRESHOLD
+        parted = np.concatenate(([0], np.cumsum(SEPARATOR_CLASS[raw])))
+        told = np.flatnonzero(whole | (stops - starts >= WEIGHED) & (parted[stops] > parted[starts]))
+        covered: dict[int, Covered] = {}
+        for k in told.tolist():
+            low, high = int(starts[k]), int(stops[k])
             i = int(np.searchsorted(at, low, "right")) - 1
+            base = covered.get(i) or covered.setdefault(i, Covered(found[i]))
             a, b = low - int(at[i]), high - int(at[i])
-            if any(s <= a and b <= e for s, _, e in found[i]):
+            if base.holds(a, b):
                 continue
-            run = data[low:high].decode("ascii")
-            if format_score(self.automata, run) >= THRESHOLD:
+            if whole[k]:
                 found[i].append((a, 3, b))
-            elif not SEPARATORS.isdisjoint(run):
-                for s, e in credential_parts(self.automata, run):
-                    if not any(x <= a + s and a + e <= y for x, _, y in found[i]):
+            else:
+                for s, e in credential_parts(self.automata, data[low:high].decode("ascii")):
+                    if not base.holds(a + s, a + e):
                         found[i].append((a + s, 3, a + e))
 
 
