@@ -10,10 +10,10 @@ that of the everyday automaton, a character, or a ``WEIGHED``-th of it for runs
 as much evidence as one of that length. At ``THRESHOLD`` and above the run is a ``grammar`` span, unless a base span covers it.
 
 Every run is scored whole, all runs of a batch at once by tables of the automata. In a run of ``WEIGHED`` characters or more
-that falls short, the parts from one separator (``+ / _ . = -``) to another are scored alike, as a credential may stand in an
-assignment, a URL or a path; of parts that overlap, the one with the most bits over the threshold is the span, widened by
-those that follow a format throughout. All parts are scored in one walk along the run: parts that have brought both automata
-to the same states have the same future, so only the best of them goes on.
+with separators (``+ / _ . = -``) the parts from one to another are scored alike, the whole among them, as a credential may
+stand in an assignment, a URL or a path. The parts that lie apart and have the most bits over the threshold together are the
+spans, each widened to what a format accepts as a whole; a part after the first costs ``SPLIT`` bits. They are found in one walk along the run: open parts that have brought a format and the
+everyday automaton to the same states have the same future, so only the best of them goes on.
 
 The examples are labelled by construction: a seeded generator writes them from the publicly documented formats, so no
 real credential is kept here. ``learn`` takes any other labelled strings.
@@ -46,6 +46,8 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 MIN_SECRET, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: Bits a character by which a format must beat everyday tokens, and the characters that a shorter run counts as.
 THRESHOLD, WEIGHED = 0.8, 16
+#: Bits by which two parts of a run must beat one, as credentials hold separators themselves.
+SPLIT = 32.0
 #: Confidence of the tests by which states are kept apart: of formats, and of the everyday automaton.
 ALPHA, EVERYDAY_ALPHA = 0.05, 0.3
 #: Longer runs are scored one at a time.
@@ -255,58 +257,74 @@ def format_score(automata: dict[str, Automaton], text: str) -> float:
     return (best - automata["everyday"].likelihood(text)) / max(WEIGHED, len(text))
 
 
-def part_totals(form: Automaton, everyday: Automaton, text: str) -> list[tuple[float, int, int, bool]]:
-    """``total, start, stop, clean`` of the best parts that end at each separator and reach the threshold.
+def best_parts(automata: dict[str, Automaton], text: str) -> tuple[float, list[tuple[int, int]]]:
+    """The parts of ``text`` between separators that reach the threshold, lie apart and have the most bits over it together.
 
-    A part's total is its bits over everyday tokens less ``THRESHOLD`` a character; it is clean if the format has seen each
-    character in its place. Open parts are kept by the states of both automata, by being clean and by their length up to
-    ``WEIGHED``.
+    Each part after the first costs ``SPLIT``. A part's bits are those over everyday tokens less ``THRESHOLD`` a character. Open parts are kept by format, by the states
+    of both automata and by their length up to ``WEIGHED``: of those with all that in common, the one that is best with what
+    lies before it.
     """
-    found, size = [], len(text)
+    forms, everyday = [a for name, a in automata.items() if name != "everyday"], automata["everyday"]
+    best, came, part = [0.0], [0], [False]
     parts: dict[tuple, tuple[float, int]] = {}
+    size = len(text)
     for at, c in enumerate(text):
         if at == 0 or text[at - 1] in SEPARATORS:
-            parts[0, 0, True, 0] = (0.0, at)
+            for k in range(len(forms)):
+                parts[k, 0, 0, 0] = (max(0.0, best[at] - SPLIT), at)
         moved: dict[tuple, tuple[float, int]] = {}
-        for (f, e, clean, length), (total, start) in parts.items():
-            seen = form.step[f].get(c)
-            gain, f = seen or (form.other[f], 0)
+        for (k, f, e, length), (total, start) in parts.items():
+            gain, f = forms[k].step[f].get(c) or (forms[k].other[f], 0)
             cost, e = everyday.step[e].get(c) or (everyday.other[e], 0)
-            key = (f, e, clean and seen is not None, min(length + 1, WEIGHED))
+            key = (k, f, e, min(length + 1, WEIGHED))
             total += gain - cost - THRESHOLD
             held = moved.get(key)
             if held is None or held[0] < total:
                 moved[key] = (total, start)
         parts = moved
+        best.append(best[at])
+        came.append(at)
+        part.append(False)
         if c in SEPARATORS or at + 1 == size or text[at + 1] in SEPARATORS:
-            ends = [(total + form.stop[f] - everyday.stop[e] - THRESHOLD * (WEIGHED - length), start, at + 1, clean) for (f, e, clean, length), (total, start) in parts.items()]
-            for kind in (False, True):
-                best = max((x for x in ends if x[3] == kind), default=(-1.0,))
-                if best[0] >= 0:
-                    found.append(best)
-    return found
+            for (k, f, e, length), (total, start) in parts.items():
+                total += forms[k].stop[f] - everyday.stop[e] - THRESHOLD * (WEIGHED - length)
+                if total > best[-1] and total >= best[start] - SPLIT:
+                    best[-1], came[-1], part[-1] = total, start, True
+    found, at = [], size
+    while at and best[at] > 0:
+        if part[at]:
+            found.append((came[at], at))
+            if best[came[at]] <= SPLIT:  # what lies before is not worth it
+                break
+        at = came[at]
+    return best[-1], found[::-1]
+
+
+def widened(automata: dict[str, Automaton], text: str, span: tuple[int, int], low: int, high: int) -> tuple[int, int]:
+    """``span`` with the widest part from ``low`` to ``high`` that holds its start and half of it, that a format accepts, and that
+    reaches the threshold."""
+    least = (span[0] + span[1] + 1) // 2
+    for start in [i for i in range(low, span[0] + 1) if i == 0 or text[i - 1] in SEPARATORS]:
+        stop = 0
+        for name, form in automata.items():
+            at = 0
+            for i in range(start, high if name != "everyday" else start):
+                if (seen := form.step[at].get(text[i])) is None:
+                    break
+                at = seen[1]
+                if i + 1 >= max(least, stop) and form.ends[at] and (i + 1 == len(text) or text[i] in SEPARATORS or text[i + 1] in SEPARATORS):
+                    stop = i + 1
+        if stop and format_score(automata, text[start:stop]) >= THRESHOLD:
+            return start, max(stop, span[1])
+    return span
 
 
 def credential_parts(automata: dict[str, Automaton], text: str) -> list[tuple[int, int]]:
-    """Parts of ``text`` between separators that reach the threshold, ``start, stop``; none overlap or touch."""
-    spans, todo = [], [(0, len(text))]
-    while todo:
-        low, high = todo.pop()
-        found = [x for name, a in automata.items() if name != "everyday" for x in part_totals(a, automata["everyday"], text[low:high])]
-        taken: list[tuple[int, int]] = []
-        for _, a, b, clean in sorted(found, reverse=True):
-            k = bisect.bisect_left(taken, b, key=lambda span: span[0])  # those before start before b
-            first = bisect.bisect_right(taken, a, key=lambda span: span[1])  # those from here on end after a
-            if first == k:
-                taken.insert(k, (a, b))
-            elif clean and k - first == 1:  # the whole of a credential that holds separators itself
-                taken[first] = (min(a, taken[first][0]), max(b, taken[first][1]))
-        if taken:  # a part that an overlapping better one hid may have a next best beside it
-            edges = [0, *(x for span in taken for x in span), high - low]
-            todo += [(low + a, low + b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
-            spans += [(low + a, low + b) for a, b in taken]
+    """The best parts as ``start, stop``, widened to what a format accepts as a whole; those side by side are one."""
     joined: list[tuple[int, int]] = []
-    for a, b in sorted(spans):  # parts side by side are one credential
+    parts = best_parts(automata, text)[1]
+    for span, (high, _) in zip(parts, [*parts[1:], (len(text), 0)], strict=False):
+        a, b = widened(automata, text, span, joined[-1][1] if joined else 0, high)
         if joined and joined[-1][1] == a:
             joined[-1] = (joined[-1][0], b)
         else:
@@ -403,7 +421,8 @@ class Scanner:
             return
         whole = self.scores(raw, starts, stops) >= THRESHOLD
         parted = np.concatenate(([0], np.cumsum(SEPARATOR_CLASS[raw])))
-        told = np.flatnonzero(whole | (stops - starts >= WEIGHED) & (parted[stops] > parted[starts]))
+        several = (stops - starts >= WEIGHED) & (parted[stops] > parted[starts])
+        told = np.flatnonzero(whole | several)
         covered: dict[int, Covered] = {}
         for k in told.tolist():
             low, high = int(starts[k]), int(stops[k])
@@ -412,7 +431,7 @@ class Scanner:
             a, b = low - int(at[i]), high - int(at[i])
             if base.holds(a, b):
                 continue
-            if whole[k]:
+            if not several[k]:
                 found[i].append((a, 3, b))
             else:
                 for s, e in credential_parts(self.automata, data[low:high].decode("ascii")):
