@@ -44,8 +44,8 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 MIN_SECRET, MIN_ACCESS, MIN_HEX = 6, 20, 24
-#: Bits a character by which a format must beat everyday tokens, and the characters that a shorter run counts as.
-THRESHOLD, WEIGHED = 0.8, 16
+#: Bits a character by which a format must beat everyday tokens, and the characters that a shorter run counts as, those of the shortest format.
+THRESHOLD, WEIGHED = 0.8, 20
 #: Bits by which two parts of a run must beat one, as credentials hold separators themselves.
 SPLIT = 32.0
 #: Confidence of the tests by which states are kept apart: of formats, and of the everyday automaton.
