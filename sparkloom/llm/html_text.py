@@ -2,8 +2,8 @@
 
 A page is read into a tree by a tolerant tokenizer: end tags may be missing, attributes may hold ``>``, raw text ends
 at its own end tag, and a page may be cut off anywhere. Elements that hold no article by their kind (scripts, forms, menus,
-...) never get text, nor do blocks with such a whole class, id or role (footers, adverts, comments, ...), unless one other
-than comments holds most of the body's text. For every node the composite density is computed,
+...) never get text, nor do blocks with such a whole class, id or role (footers, adverts, comments, ...), unless one whose name
+may mean something else (as widget or search) holds most of the body's text. For every node the composite density is computed,
 
     C/T * log(C/LC * T/LT) / log(ln(C/nonLC * LC + LCb/Cb * C + e))
 
@@ -17,7 +17,8 @@ Blocks are trimmed, white space inside a block is one space, character reference
 page order by two line feeds.
 
 Cases: a null, empty or text-free page has the empty text; plain text without markup is its own article; repeated rows
-are extracted row by row; null keys pass through; an empty table gives an empty result; very long pages are taken whole.
+are extracted row by row; null keys pass through; an empty table gives an empty result; very long or deep pages are taken
+whole, in time in proportion; columns that are not asked for are not read, so they may have any name.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +47,8 @@ DROPPED = frozenset("head script style textarea title xmp iframe noembed noframe
 DROPPED_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert share sharing social related recommended newsletter subscribe subscription popup modal pagination pager login signup search contentinfo complementary widget".split())
 #: Dropped unless inside an article: a page's header, not an article's.
 HEADER_NAMES = frozenset("header masthead topbar".split())
-#: Of these, those that don't hold the article even where they hold most of the text.
-COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Of these, those that never hold the article, even where they hold most of the text.
+SURE_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored comment comments commentlist disqus reply replies respond cookie cookies consent gdpr nav navbar navigation breadcrumb breadcrumbs sidebar footer share sharing newsletter subscribe subscription popup modal pagination pager login signup contentinfo".split())
 PLAIN_NAMES = frozenset("area bar block bottom box container content inner items left links list main outer page panel right section site sub top wrap wrapper".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
@@ -69,7 +71,7 @@ BARRIER = frozenset("article aside body button div dl fieldset footer form heade
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "start", "stop", "chars", "tags", "link_chars", "link_tags", "density", "within", "named")
+    __slots__ = ("tag", "parent", "children", "start", "stop", "chars", "tags", "link_chars", "link_tags", "density", "within", "named", "lost")
 
     def __init__(self, tag: str, parent: Node | None, start: int):
         self.tag, self.parent, self.start, self.stop = tag, parent, start, start
@@ -77,10 +79,15 @@ class Node:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
         self.named = ""
+        self.lost = (0, 0, 0, 0)
         self.within = tag in ("article", "main") or parent is not None and parent.within
         if parent is not None:
             parent.children.append(self)
 
+    def lose(self, *counts: int) -> None:
+        """Counts of what is taken out below."""
+        self.lost = tuple(x + y for x, y in zip(self.lost, counts, strict=True))
+
 
 def unwanted(tag: str, attributes: str, within: bool, top: bool) -> bool:
     """top: the element stands in the body itself, where a header is the page's."""
@@ -118,13 +125,14 @@ class Tree:
         self.root = Node("html", None, 0)
         self.body = self.root
         self._open = [self.root]
+        self._tags = Counter()  # of open elements but the root
         self._read(page)
         while self._open:
             self._pop()
         self._prune()
 
     def _prune(self) -> None:
-        """Named elements go, unless they hold most of the body's text and are no comments: there the densities decide.
+        """Named elements go, unless they hold most of the body's text by a name that is not sure: there the densities decide.
 
         Where the page has an article or main element with text, it has to be around the named one or inside it.
         """
@@ -140,27 +148,29 @@ class Tree:
 
         def stays(c: Node) -> bool:
             free = not told or c.within or id(c) in holders
-            return free and 2 * c.chars > whole and COMMENT_NAMES.isdisjoint(NAME_PART.findall(c.named))
+            return free and 2 * c.chars > whole and SURE_NAMES.isdisjoint(NAME_PART.findall(c.named))
 
-        todo = [self.root]
+        order, todo = [], [self.root]
         while todo:
             n = todo.pop()
+            order.append(n)
             gone = [c for c in n.children if c.named and not stays(c)]
             for c in gone:
                 self.pieces[c.start : c.stop] = [None] * (c.stop - c.start)
-                up = n
-                while up is not None:
-                    up.chars -= c.chars
-                    up.tags -= c.tags + 1
-                    up.link_chars -= c.link_chars
-                    up.link_tags -= c.link_tags
-                    up = up.parent
+                n.lose(c.chars, c.tags + 1, c.link_chars, c.link_tags)
             if gone:
-                n.children = [c for c in n.children if c not in gone]
+                out = set(map(id, gone))
+                n.children = [c for c in n.children if id(c) not in out]
             todo += n.children
+        for n in reversed(order):  # children before their parents
+            if any(n.lost):
+                n.chars, n.tags, n.link_chars, n.link_tags = (x - y for x, y in zip((n.chars, n.tags, n.link_chars, n.link_tags), n.lost, strict=True))
+                if n.parent is not None:
+                    n.parent.lose(*n.lost)
 
     def _pop(self) -> None:
         node = self._open.pop()
+        self._tags[node.tag] -= 1
         if node.tag in BLOCKS:
             self.pieces.append(None)
         node.stop = len(self.pieces)
@@ -179,7 +189,13 @@ class Tree:
         self.pieces.append(text)
         self._open[-1].chars += len("".join(text.split()))
 
+    def _push(self, node: Node) -> None:
+        self._open.append(node)
+        self._tags[node.tag] += 1
+
     def _close(self, tags: frozenset, barrier: frozenset) -> None:
+        if not any(self._tags[t] > 0 for t in tags):
+            return
         for k in range(len(self._open) - 1, 0, -1):
             if self._open[k].tag in tags:
                 while len(self._open) > k:
@@ -209,8 +225,7 @@ class Tree:
                     continue
                 if end in ("body", "html"):
                     continue
-                if any(n.tag == end for n in self._open[1:]):
-                    self._close(frozenset([end]), frozenset())
+                self._close(frozenset([end]), frozenset())
                 continue
             tag = (m[1] or m[3] or "").lower()
             if not tag:
@@ -234,7 +249,7 @@ class Tree:
             if tag == "body":
                 if self.body is self.root:
                     self.body = Node("body", self._open[-1], len(self.pieces))
-                    self._open.append(self.body)
+                    self._push(self.body)
                 continue
             if tag == "html":
                 continue
@@ -253,7 +268,7 @@ class Tree:
                 continue
             if tag in BLOCKS:
                 self.pieces.append(None)
-            self._open.append(Node(tag, top, len(self.pieces)))
+            self._push(Node(tag, top, len(self.pieces)))
             self._open[-1].named = named(tag, attributes, top.within)
 
 
@@ -273,15 +288,17 @@ def set_densities(tree: Tree) -> None:
 
 
 def densest(top: Node) -> Node:
-    """The node of a subtree whose children's densities have the greatest sum."""
+    """The node of a subtree whose children's densities have the greatest sum; one without blocks below is a block of text
+    itself, and only taken where there is nothing else."""
     best, most = top, -1.0
     todo = [top]
     while todo:
         n = todo.pop()
         todo += reversed(n.children)
-        total = sum(c.density for c in n.children)
-        if total > most:
-            best, most = n, total
+        if any(c.tag in BLOCKS for c in n.children):
+            total = sum(c.density for c in n.children)
+            if total > most:
+                best, most = n, total
     return best
 
 
@@ -290,7 +307,7 @@ def marked(tree: Tree, best: Node, threshold: float) -> list[Node]:
     found, held, above = [best], {id(best)}, set()
 
     def note(n: Node) -> None:
-        while n is not None:
+        while n is not None and id(n) not in above:
             above.add(id(n))
             n = n.parent
 
@@ -328,15 +345,15 @@ def article(tree: Tree) -> list[tuple[int, int]]:
         best = best.parent
     nodes = [best] if named or best is tree.body else marked(tree, best, threshold)
     chosen = {id(n) for n in nodes}
-    paths = []
-    for n in nodes:
-        line = [n]
-        while line[-1] is not tree.body and line[-1].parent is not None:
-            line.append(line[-1].parent)
-        paths.append(line[::-1])
     # the lowest node that holds all marked ones; of the rest of it, blocks of running text stay
-    top = next(level[0] for level in reversed(list(zip(*paths))) if len({id(n) for n in level}) == 1)
-    above = {id(n) for line in paths for n in line}
+    above: set[int] = set()
+    for n in nodes:
+        while n is not None and id(n) not in above:
+            above.add(id(n))
+            n = n.parent if n is not tree.body else None
+    top = tree.body
+    while id(top) not in chosen and len(down := [c for c in top.children if id(c) in above]) == 1:
+        top = down[0]
     cut, todo = [], [top]
     while todo:
         n = todo.pop()

@@ -290,6 +290,29 @@ def test_html_names_are_whole():
     assert html_text.main_text(f"<body><article><section id='search'>{inner}</section><ul class='social'><li>x</ul></article>") == expected
 
 
+def test_html_in_time_in_proportion():
+    import time
+
+    pages = (
+        "<div>" * 20_000 + "x" + "</p>" * 20_000,
+        ("<div class='share'>s</div><div>" * 6000) + "some words of text " * 40,
+        "<p>" + "<span>" * 20_000 + "<div>" * 2000 + "t",
+        "<div><p>some words here to read</p></div>" * 20_000,
+        "<p>" + "<a " * 50_000,
+    )
+    for page in pages:
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 6
+
+
+def test_html_pages_by_density(spark):
+    """The same text comes out where no element says that it is the article."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    for page in pages:
+        assert html_text.main_text(re.sub(r"<(/?)article", r"<\1div", page)) == html_text.main_text(page)
+
+
 def test_html_pages(spark):
     import html
 
