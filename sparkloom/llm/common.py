@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.plans.shared import cut
+
 #: Bytes of text that one vectorised step handles at a time; a single longer text is a step of its own.
 SLICE_BYTES = 1 << 19
 #: Bytes of a batch on its way to Python and back; the session setting is lowered to that where it is higher.
@@ -22,21 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, has statistics."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+materialise = cut
 
 
 @contextlib.contextmanager
@@ -53,7 +39,8 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a per-task ``make()`` and steps whose text stays near ``SLICE_BYTES``.
 
-    The first string or binary column decides how a batch is cut.
+    The first string or binary column decides how a batch is cut. Batches are bounded in bytes where the plan is run, so the
+    session's limit on them is lowered to ``BATCH_BYTES`` if it is higher, and stays so: the plan may be run at any later time.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if parse_bytes(conf.get(name)) > BATCH_BYTES:

@@ -19,7 +19,9 @@ Large buckets are split by a random salt for the ordering, and joins on bucket k
 
 Cases: null, empty or blank texts have no shingles and link with nothing; a text of fewer words than a shingle is one
 shingle; rows with a null key are kept, link with nothing and have a null component; repeated keys are one vertex; ties go
-to the smallest key; an empty table gives an empty result.
+to the smallest key; an empty table gives an empty result. A very long text is hashed in steps, and a square takes as many
+texts as have ``TILE_SHINGLES`` together, or one. Only the key and the text are read, so other columns may have any name.
+``drop_near_duplicates`` keeps the other columns as they are, and takes rows with a null or repeated key as documents each.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import arrow_map, flat, materialise, setting, slices, table
+from sparkloom.llm.common import arrow_map, flat, fresh, materialise, setting, slices, table
 from sparkloom.llm.components import components
 from sparkloom.llm.words import LOWER, mix, shingle_sets
 
@@ -42,12 +44,12 @@ PERMUTATIONS = ROWS * BANDS
 GROUPS = -(-PERMUTATIONS // 64)
 LONGS = GROUPS * LOW_BITS
 #: Deviations of the estimate by which a pair may fall short.
-SLACK = 4.3
+SLACK = 5.5
 BEST = 2
 SALTED = 1000
 PASSES = 2
-#: Documents on a side of a square that one task compares, and shingles it takes at a time.
-TILE, CHUNK = 256, 8192
+#: Documents on a side of a square that one task compares, shingles on a side, and shingles it takes at a time.
+TILE, TILE_SHINGLES, CHUNK = 96, 1 << 20, 8192
 
 #: Else the optimiser multiplies the terms of the estimate.
 CALM = ("spark.sql.constraintPropagation.enabled", "false")
@@ -76,9 +78,13 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def signatures(least: np.ndarray) -> np.ndarray:
-    """The low bits of the minima, packed: (n, PERMUTATIONS) to (n, LONGS)."""
+    """The low bits of the minima, packed: (n, PERMUTATIONS) to (n, LONGS).
+
+    The minima are mixed first: the low bits of ``x * a + b`` hang on those of ``x`` alone, so those of small sets' minima
+    would not be independent.
+    """
     low = np.zeros((len(least), GROUPS * 64), np.uint64)
-    low[:, :PERMUTATIONS] = least
+    low[:, :PERMUTATIONS] = mix(least)
     low = low.reshape(len(least), GROUPS, 1, 64) >> np.arange(LOW_BITS, dtype=np.uint64)[:, None] & np.uint64(1)
     return (low << np.arange(64, dtype=np.uint64)).sum(axis=3, dtype=np.uint64).reshape(len(least), LONGS).view(np.int64)
 
@@ -209,11 +215,13 @@ def common_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
 
 
 def compare_clusters(clustered: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links ``a, b`` that join components of a cluster. ``clustered``: ``id, component, cluster``."""
+    """Links ``a, b`` that join components of a cluster. ``clustered``: ``id, component, cluster, n_shingles``."""
     kinds = dict(clustered.dtypes)
-    sizes = clustered.groupBy("cluster", "component").agg(F.count("*").alias("k"))
-    sizes = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.max("k").alias("most"), F.sum("k").alias("n"))
-    sizes = sizes.where("n > most").select("cluster", "largest", F.ceil((F.col("n") - F.col("most")) / TILE).alias("rows"), F.ceil(F.col("n") / TILE).alias("columns"))
+    sizes = clustered.groupBy("cluster", "component").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("s"))
+    largest = F.struct("k", "component", "s")
+    sizes = sizes.groupBy("cluster").agg(F.max(largest).alias("top"), F.sum("k").alias("n"), F.sum("s").alias("s")).where("n > top.k")
+    parts = lambda n, s: F.greatest(F.ceil(n / TILE), F.ceil(s / TILE_SHINGLES))
+    sizes = sizes.select("cluster", F.col("top.component").alias("largest"), parts(F.col("n") - F.col("top.k"), F.col("s") - F.col("top.s")).alias("rows"), parts(F.col("n"), F.col("s")).alias("columns"))
     docs = clustered.join(sizes, "cluster")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     outside = docs.where("component <> largest").withColumn("x", F.pmod(F.xxhash64("id", F.lit(1)), "rows")).withColumn("y", every("columns")).withColumn("outside", F.lit(True))
@@ -250,7 +258,8 @@ def compare_clusters(clustered: DataFrame, texts: DataFrame, words: int, percent
         kind = group.schema.field("id").type
         return pa.table([pa.array([a for a, _ in found], kind), pa.array([b for _, b in found], kind)], ["a", "b"])
 
-    return dealt.repartition("cluster", "x", "y").groupBy("cluster", "x", "y").applyInArrow(compare, f"a {kinds['id']}, b {kinds['id']}")
+    # by ranges, which hold about as many rows each; a square is never split
+    return dealt.repartitionByRange("cluster", "x", "y").groupBy("cluster", "x", "y").applyInArrow(compare, f"a {kinds['id']}, b {kinds['id']}")
 
 
 def link_classes(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -272,8 +281,8 @@ def link_classes(classes: DataFrame, texts: DataFrame, words: int, percent: int)
         labels = materialise(merge_labels(labels, links), "labels")
         tried = tried.unionByName(pairs.select("a", "b"))
     clusters = joined_components(labels, tried).withColumnRenamed("least", "cluster")
-    clustered = materialise(labels.join(clusters, "component"), "clustered")
-    links = materialise(compare_clusters(clustered.select("id", "component", "cluster"), texts, words, percent), "confirmed")
+    clustered = materialise(labels.join(clusters, "component").join(signed.select("id", "n_shingles"), "id"), "clustered")
+    links = materialise(compare_clusters(clustered.select("id", "component", "cluster", "n_shingles"), texts, words, percent), "confirmed")
     labels = materialise(merge_labels(labels, links), "labels")
     of_cluster = labels.join(clustered.select("id", "cluster"), "id", "left").select("id", F.coalesce("cluster", "component").alias("cluster"))
     own = signed.join(of_cluster, "id").select("id", F.struct("id", "cluster", "n_shingles", *sigs).alias("own"))
@@ -301,9 +310,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the one of the smallest key. Rows with a null key stay."""
-    dropped = near_duplicates(docs, words, percent, key, text).where("not kept").select(key).distinct()
-    return docs.join(dropped.hint("shuffle_hash"), key, "left_anti").select(*docs.columns)
+    """``docs`` with one document of each group: the one of the smallest key, null last; of rows with one key, one of them.
+
+    Where keys are null or repeated, rows are numbered, written, and compared by their numbers.
+    """
+    n, distinct = docs.agg(F.count("*"), F.count_distinct(key)).first()
+    if n == distinct:
+        dropped = near_duplicates(docs, words, percent, key, text).where("not kept").select(key)
+        return docs.join(dropped.hint("shuffle_hash"), key, "left_anti").select(*docs.columns)
+    number = fresh(docs, "number")
+    numbered = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, words, percent, number, text).select(F.col(number).alias("own"), "component_id")
+    keyed = found.join(numbered.select(F.col(number).alias("own"), F.col(key).alias("key")), "own")
+    first = keyed.groupBy("component_id").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "own")).alias("first"))
+    return numbered.join(first.select(F.col("first.own").alias(number)), number, "left_semi").select(*docs.columns)
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

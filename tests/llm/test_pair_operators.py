@@ -89,10 +89,49 @@ def test_near_duplicates_corner_cases(spark):
     found = near_dups.near_duplicates(docs).collect()
     assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in found if r["doc_id"] is not None) == [(1, 1, True), (3, 1, False), (3, 1, False), (7, 7, True)]
     assert [(r["component_id"], r["kept"]) for r in found if r["doc_id"] is None] == [(None, True)]
-    assert near_dups.drop_near_duplicates(docs).count() == 3
+    # rows with a null or repeated key are documents each, and one of each group stays
+    assert sorted(map(tuple, near_dups.drop_near_duplicates(docs).collect())) == [(1, "A b c d e f"), (7, None)]
+    only = docs.where("doc_id is null").unionByName(docs.where("doc_id is null"))
+    assert [tuple(r) for r in near_dups.drop_near_duplicates(only).collect()] == [(None, "a b c d e f")]
+    apart = spark.createDataFrame([(3, "a b c d e f", 0), (3, "some thing else that is said", 1), (3, "", 2)], "doc_id long, text string, number int")
+    kept = near_dups.drop_near_duplicates(apart)
+    assert kept.columns == apart.columns and kept.count() == 3
     assert near_dups.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_small_sets_pass_the_signatures(spark):
+    """Sets of few shingles at exactly the similarity are likely by their signatures; none of 2,000 pairs is lost."""
+    rng = np.random.default_rng(4)
+    names = [f"sig{i}" for i in range(near_dups.LONGS)]
+    rows = []
+    for i in range(4000):
+        n = (5, 10, 20)[i % 3]
+        pool = rng.integers(0, 1 << 63, 2 * n, np.uint64)
+        shared = n * 4 // 5 if i % 2 else n * 8 // 9
+        one, two = (pool[:n], pool[:shared]) if i % 2 else (pool[:n], np.concatenate((pool[:shared], pool[n : 2 * n - shared])))
+        similar = len(np.intersect1d(one, two)) / len(np.union1d(one, two))
+        if similar < 0.8:
+            continue
+        sides = near_dups.signatures(np.array([near_dups.minima(np.sort(x)) for x in (one, two)])).tolist()
+        rows.append(({"n_shingles": len(one)} | dict(zip(names, sides[0], strict=True)), {"n_shingles": len(two)} | dict(zip(names, sides[1], strict=True))))
+    kind = "struct<n_shingles: long, " + ", ".join(f"{n}: long" for n in names) + ">"
+    frame = spark.createDataFrame(rows, f"x {kind}, y {kind}")
+    assert len(rows) >= 2000 and frame.where(near_dups.likely("x", "y", 80)).count() == len(rows)
+
+
+def test_squares_are_bounded_by_shingles(spark, monkeypatch):
+    """A cluster's squares get smaller where its texts are long; the links stay the same."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base[: 400 - 4 * i]) for i in range(40)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, expected = brute(texts, 5)
+    for most in (near_dups.TILE_SHINGLES, 2000, 1):
+        monkeypatch.setattr(near_dups, "TILE_SHINGLES", most)
+        assert {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(docs).collect()} == dict(enumerate(expected))
+
+
 def test_common_counts():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 20_000, rng.integers(0, 3000)).astype(np.uint64)) for _ in range(12)]
