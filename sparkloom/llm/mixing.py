@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fresh, table
+from sparkloom.llm.common import fresh, materialise, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEAT = 3
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """
     name, size, rates_of = fresh(docs, "mix"), fresh(docs, "mix_size"), fresh(docs, "mix_rates")
     sized = docs.withColumn(size, word_count(F.col(text)))
-    totals = sized.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size"))
+    totals = materialise(sized.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size")), "source_sizes")
     rates = targets(totals, max_repeat).select(F.struct("source", "source_size", "target", "rate").alias(rates_of))
     if totals.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
