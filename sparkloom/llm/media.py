@@ -2,8 +2,8 @@
 
 ``encode`` stores bytes as the 8-bit grey samples of frames ``WIDTH`` wide and up to ``HEIGHT`` high. Frames are intra
 coded by the lossless process of the JPEG standard (SOF3, predictor 1): the baseline process would round samples away.
-Every row is a restart interval, so all rows of a batch are decoded in step, one array operation for the n-th sample of
-each, instead of bit by bit. The AVI file has the usual header lists, a ``movi`` list and an ``idx1`` index; the last
+Every row is a restart interval, so many rows are decoded in step, one array operation for the n-th sample of each, instead of
+bit by bit; frames are coded and decoded in steps of about ``STEP_ROWS`` rows, so memory does not grow with a file's samples. The AVI file has the usual header lists, a ``movi`` list and an ``idx1`` index; the last
 frame may be lower than the others, which its own header says.
 
 ``decode`` parses the index, decodes the frames and gives back the samples. ``clips`` detects shots: a cut lies where the
@@ -11,11 +11,14 @@ histogram of a frame differs from the one before by more than the mean differenc
 ``SIGMAS`` deviations, and by ``LEAST`` at least; each shot is a row with its times.
 
 Cases: a null or empty value is stored as one row of fill; repeated rows and repeated keys are kept; an empty table gives
-an empty result; a damaged file raises ``ValueError`` with the place that is wrong; other columns are not read.
+an empty result; of a file that is null, damaged or of another form, ``decode`` gives no payload and says what is wrong, and
+``clips`` gives no rows; files with Huffman tables of their own may stand side by side; other columns are not read, so they
+may have any name; a very long value makes many frames of one file, below the 4 GB that the format has.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -31,11 +34,14 @@ WIDTH, HEIGHT, FILL = 192, 64, 32
 FRAME_US = 40_000
 WINDOW, SIGMAS, LEAST = 12, 3.0, 0.25
 BINS = 16
+#: Rows that are coded or decoded at a time, to the next end of a frame.
+STEP_ROWS = 4096
 
 #: Huffman table for difference categories: how many codes there are of each length from 1 to 16, and their categories.
 CODE_COUNTS = (0, 2, 2, 3, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0)
 CATEGORIES = (7, 4, 3, 5, 2, 6, 1, 0, 8)
-PEEK = 14
+#: Bits that are looked up at a time: at least, and at most, as three bytes hold them at any place.
+PEEK, MOST_PEEK = 14, 17
 
 
 def huffman_codes(counts, symbols) -> dict[int, tuple[int, int]]:
@@ -61,18 +67,20 @@ def difference_codes(counts, symbols) -> tuple[np.ndarray, np.ndarray]:
     return value, length
 
 
-def peek_table(counts, symbols) -> tuple[np.ndarray, np.ndarray]:
-    """Difference and length by the next ``PEEK`` bits; length 0 where they start no code."""
+@functools.lru_cache(64)
+def peek_table(counts: bytes, symbols: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """Difference and length by the next bits, length 0 where they start no code; and how many bits that are."""
     value, length = difference_codes(counts, symbols)
-    if length.max() > PEEK:
+    peek = max(PEEK, int(length.max()))
+    if peek > MOST_PEEK:
         raise ValueError("a Huffman table with codes longer than this reader takes")
-    difference, used = np.zeros(1 << PEEK, np.int32), np.zeros(1 << PEEK, np.int32)
+    difference, used = np.zeros(1 << peek, np.int32), np.zeros(1 << peek, np.int32)
     for i in range(511):
-        spare = PEEK - int(length[i])
+        spare = peek - int(length[i])
         low = int(value[i]) << spare
         difference[low : low + (1 << spare)] = i - 255
         used[low : low + (1 << spare)] = length[i]
-    return difference, used
+    return difference, used, peek
 
 
 CODE_VALUE, CODE_LENGTH = difference_codes(CODE_COUNTS, CATEGORIES)
@@ -152,30 +160,42 @@ def encode_all(raw: np.ndarray, at: np.ndarray) -> list[bytes]:
     sizes = np.diff(at)
     rows = np.maximum(1, -(-sizes // WIDTH))
     first = np.concatenate(([0], np.cumsum(rows)))
-    samples = np.full(int(first[-1]) * WIDTH, FILL, np.uint8)
-    for i in range(len(sizes)):
-        samples[first[i] * WIDTH : first[i] * WIDTH + sizes[i]] = raw[at[i] : at[i + 1]]
     place = np.arange(first[-1]) - np.repeat(first[:-1], rows)
-    number = place % HEIGHT
+    number = (place % HEIGHT).astype(np.int16)
     last = number == HEIGHT - 1
     last[first[1:] - 1] = True
-    coded, ends = entropy_code(samples.reshape(-1, WIDTH), last, number)
-    found, begin = [], 0
-    frame_rows = np.flatnonzero(last)
-    stops, heights = ends[frame_rows].tolist(), (number[frame_rows] + 1).tolist()
-    counts = (-(-rows // HEIGHT)).tolist()
+    del place
+    stops = np.flatnonzero(last) + 1  # by frame
+    heights = (number[stops - 1] + 1).tolist()
     headers = {h: frame_header(h) for h in set(heights)}
-    k = 0
-    for i, n in enumerate(counts):
-        frames = []
-        for _ in range(n):
-            frames.append(headers[heights[k]] + coded[begin : stops[k]] + b"\xff\xd9")
-            begin = stops[k]
-            k += 1
-        found.append(avi(frames, min(HEIGHT, int(rows[i]))))
+    frames: list[bytes] = []
+    low = 0
+    while low < first[-1]:
+        high = int(stops[min(np.searchsorted(stops, low + STEP_ROWS), len(stops) - 1)])
+        coded, ends = entropy_code(samples_of(raw, at, first, low, high), last[low:high], number[low:high])
+        begin = 0
+        for stop in ends[last[low:high]].tolist():
+            frames.append(headers[heights[len(frames)]] + coded[begin:stop] + b"\xff\xd9")
+            begin = stop
+        low = high
+    found, k = [], 0
+    for i, n in enumerate((-(-rows // HEIGHT)).tolist()):
+        found.append(avi(frames[k : k + n], min(HEIGHT, int(rows[i]))))
+        k += n
     return found
 
 
+def samples_of(raw: np.ndarray, at: np.ndarray, first: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Rows ``low`` to ``high`` of all files; ``first`` are the files' first rows."""
+    samples = np.full((high - low) * WIDTH, FILL, np.uint8)
+    for i in range(int(np.searchsorted(first, low, "right")) - 1, int(np.searchsorted(first, high))):
+        begin = int(at[i]) + max(0, low - int(first[i])) * WIDTH
+        part = raw[begin : min(int(at[i + 1]), int(at[i]) + (high - int(first[i])) * WIDTH)]
+        to = max(0, int(first[i]) - low) * WIDTH
+        samples[to : to + len(part)] = part
+    return samples.reshape(-1, WIDTH)
+
+
 def parse_avi(data: bytes) -> list[tuple[int, int]]:
     """Offset and size of each video frame, by the file's index."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
@@ -229,7 +249,7 @@ def parse_frame(data: bytes, at: int, size: int) -> tuple[int, bytes, int, int]:
 
 def entropy_decode(coded: np.ndarray, rows: int, codes: bytes, first: np.ndarray) -> np.ndarray:
     """Samples of ``rows`` restart intervals. ``coded``: scans one after another; ``first``: where each scan begins."""
-    difference, used = peek_table(codes[1:17], codes[17:])
+    difference, used, n_peek = peek_table(codes[1:17], codes[17:])
     full = np.flatnonzero(coded[:-1] == 255)
     follow = coded[full + 1]
     keep = np.ones(len(coded), bool)
@@ -247,41 +267,67 @@ def entropy_decode(coded: np.ndarray, rows: int, codes: bytes, first: np.ndarray
     sample = np.full(rows, 128, np.int32)
     out = np.empty((WIDTH, rows), np.uint8)
     for k in range(WIDTH):
-        peek = words[np.minimum(at >> 3, stop)] >> (24 - PEEK - (at & 7)) & ((1 << PEEK) - 1)
+        peek = words[np.minimum(at >> 3, stop)] >> (24 - n_peek - (at & 7)) & ((1 << n_peek) - 1)
         sample = sample + difference[peek]
         at = at + used[peek]
         out[k] = sample
     return np.ascontiguousarray(out.T)
 
 
-def decode_all(files: list[bytes]) -> list[list[np.ndarray]]:
-    """The frames of each file, as arrays of samples."""
-    scans, heights, counts, table = [], [], [], None
-    for data in files:
-        frames = parse_avi(data)
-        counts.append(len(frames))
-        for at, size in frames:
-            height, codes, begin, end = parse_frame(data, at, size)
-            if table is not None and codes != table:
-                raise ValueError("frames of one batch with different Huffman tables")
-            table = codes
-            heights.append(height)
-            scans.append(data[begin:end])
-    if not scans:
-        return [[] for _ in files]
-    first = np.concatenate(([0], np.cumsum([len(s) for s in scans[:-1]]))).astype(np.int64)
-    samples = entropy_decode(np.frombuffer(b"".join(scans), np.uint8), sum(heights), table, first)
-    found, row, k = [], 0, 0
-    for n in counts:
-        own = []
-        for h in heights[k : k + n]:
-            own.append(samples[row : row + h])
-            row += h
-        k += n
-        found.append(own)
+def parse_file(data: bytes | None) -> list[tuple[int, bytes, int, int]]:
+    """``parse_frame`` of each frame; an error says what is wrong with the file."""
+    if data is None:
+        raise ValueError("no file")
+    try:
+        frames = [parse_frame(data, at, size) for at, size in parse_avi(data)]
+        for _, codes, _, _ in frames:
+            peek_table(codes[1:17], codes[17:])
+    except (struct.error, IndexError, KeyError) as e:
+        raise ValueError(f"a file that ends early or has no valid table: {e}") from e
+    return frames
+
+
+def decode_all(files: list[bytes | None]) -> list[list[np.ndarray] | ValueError]:
+    """The frames of each file, as arrays of samples, or what is wrong with it."""
+    found: list[list[np.ndarray] | ValueError] = []
+    scans: list[tuple[int, int, bytes, int, int]] = []
+    for i, data in enumerate(files):
+        try:
+            scans += [(i, *frame) for frame in parse_file(data)]
+            found.append([])
+        except ValueError as e:
+            found.append(e)
+    k = 0
+    while k < len(scans):
+        n, rows = k, 0
+        while n < len(scans) and scans[n][2] == scans[k][2] and rows < STEP_ROWS:
+            rows += scans[n][1]
+            n += 1
+        decode_step(files, scans[k:n], found)
+        k = n
     return found
 
 
+def decode_step(files: list[bytes], scans: list[tuple[int, int, bytes, int, int]], found: list) -> None:
+    """Decode frames of one Huffman table together; if that fails, file by file, to tell the damaged ones."""
+    parts = [files[i][begin:end] for i, _, _, begin, end in scans]
+    first = np.concatenate(([0], np.cumsum([len(p) for p in parts[:-1]]))).astype(np.int64)
+    try:
+        samples = entropy_decode(np.frombuffer(b"".join(parts), np.uint8), sum(h for _, h, *_ in scans), scans[0][2], first)
+    except (ValueError, IndexError) as e:
+        owners = sorted({i for i, *_ in scans})
+        if len(owners) == 1:
+            found[owners[0]] = ValueError(f"a scan that can't be decoded: {e}")
+        for i in owners if len(owners) > 1 else ():
+            decode_step(files, [scan for scan in scans if scan[0] == i], found)
+        return
+    row = 0
+    for i, height, *_ in scans:
+        if isinstance(found[i], list):
+            found[i].append(samples[row : row + height])
+        row += height
+
+
 def histograms(frames: list[np.ndarray]) -> np.ndarray:
     return np.array([np.bincount(f.ravel() >> 4, minlength=BINS) / f.size for f in frames])
 
@@ -313,16 +359,18 @@ def encode(rows: DataFrame, key: str = "doc_id", value: str = "text") -> DataFra
 
 
 def decode(files: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """``key, payload``: the samples of all frames of each AVI file, one after another."""
+    """``key, payload, problem``: the samples of all frames of each AVI file, one after another, or what is wrong with it."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            payloads = [b"".join(f.tobytes() for f in frames) for frames in decode_all(batch.column(0).to_pylist())]
-            return pa.RecordBatch.from_arrays([batch.column(1), pa.array(payloads, pa.binary())], ["key", "payload"])
+            found = decode_all(batch.column(0).to_pylist())
+            payloads = [b"".join(f.tobytes() for f in frames) if isinstance(frames, list) else None for frames in found]
+            problems = [None if isinstance(frames, list) else str(frames) for frames in found]
+            return pa.RecordBatch.from_arrays([batch.column(1), pa.array(payloads, pa.binary()), pa.array(problems, pa.string())], ["key", "payload", "problem"])
 
         return step
 
-    return arrow_map(files.select(F.col(media).alias("media"), F.col(key).alias("key")), make, f"key {dict(files.dtypes)[key]}, payload binary").withColumnRenamed("key", key)
+    return arrow_map(files.select(F.col(media).alias("media"), F.col(key).alias("key")), make, f"key {dict(files.dtypes)[key]}, payload binary, problem string").withColumnRenamed("key", key)
 
 
 def clips(files: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
@@ -332,7 +380,8 @@ def clips(files: DataFrame, key: str = "doc_id", media: str = "media") -> DataFr
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, found = batch.column(1).to_pylist(), []
             for k, frames in zip(keys, decode_all(batch.column(0).to_pylist()), strict=True):
-                found += [(k, i, a * FRAME_US // 1000, b * FRAME_US // 1000, b - a) for i, (a, b) in enumerate(shots(frames))]
+                cut = shots(frames) if isinstance(frames, list) else []
+                found += [(k, i, a * FRAME_US // 1000, b * FRAME_US // 1000, b - a) for i, (a, b) in enumerate(cut)]
             columns = list(zip(*found, strict=True)) or [[]] * 5
             return pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(1).type), *(pa.array(c, pa.int64()) for c in columns[1:])], ["key", "clip", "start_ms", "end_ms", "frames"])
 
@@ -349,6 +398,8 @@ def digests(files: DataFrame, key: str = "doc_id") -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             files, rows = batch.column(0).to_pylist(), []
             for data, frames in zip(files, decode_all(files), strict=True):
+                if not isinstance(frames, list):
+                    raise frames
                 payload = b"".join(f.tobytes() for f in frames)
                 cut = shots(frames)
                 mean = np.rint(1000 * np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=BINS) / len(payload)).astype(int)

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -89,8 +90,6 @@ def test_byte_bpe_fuzz(bpe):
 
 
 def test_byte_bpe_as_columns(spark, bpe):
-    from pyspark.sql import functions as F
-
     path, own = bpe
     words = ["", "a", " the", "Zürich", "漢字", "unbelievable", "  ", "aaaaaaaa"]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", byte_bpe.fold_column(F.col("w"), byte_bpe.read_ranks(path)).alias("ids"))
@@ -351,6 +350,50 @@ def test_media_shots_and_damage():
         media.parse_frame(b"\xff\xd8\xff\xc0" + b"\0\x11" + b"\0" * 40, 0, 44)
 
 
+def test_media_in_steps(monkeypatch):
+    """Files do not depend on how many rows are coded at a time, and come back whole in any step."""
+    rng = np.random.default_rng(2)
+    sizes = [0, 1, 191, 192, 193, 64 * 192, 64 * 192 + 1, 200_000, 0, 5 * 64 * 192]
+    raw, at = rng.integers(0, 256, sum(sizes), np.uint8), np.concatenate(([0], np.cumsum(sizes)))
+    whole = media.encode_all(raw, at)
+    for rows in (1, 65, 300):
+        monkeypatch.setattr(media, "STEP_ROWS", rows)
+        assert media.encode_all(raw, at) == whole
+        for a, b, frames in zip(at, at[1:], media.decode_all(whole), strict=False):
+            assert b"".join(f.tobytes() for f in frames) == raw[a:b].tobytes().ljust(max(192, -(-(b - a) // 192) * 192), b" ")
+
+
+def test_media_of_other_forms(spark, monkeypatch):
+    """Damaged and foreign files stop nothing, and files with tables of their own are read side by side."""
+    text = np.frombuffer(b"some text " * 400, np.uint8)
+    plain = media.encode_all(text, np.array([0, len(text)]))[0]
+    counts, categories = (0, 1, 2, 3, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0), (0, 4, 3, 5, 2, 6, 1, 7, 8)
+    with monkeypatch.context() as m:
+        value, length = media.difference_codes(counts, categories)
+        m.setattr(media, "CODE_VALUE", value)
+        m.setattr(media, "CODE_LENGTH", length)
+        m.setattr(media, "TABLE", bytes([0, *counts, *categories]))
+        other = media.encode_all(text, np.array([0, len(text)]))[0]
+    assert other != plain
+    files = [plain, other, plain[: len(plain) // 2], b"RIFX", None, plain.replace(b"\xff\xc3", b"\xff\xc0"), plain, b"", other]
+    rows = spark.createDataFrame(list(enumerate(files)), "doc_id long, media binary").withColumn("payload", F.lit(1)).coalesce(1)
+    found = {r["doc_id"]: (r["payload"] and bytes(r["payload"]), r["problem"]) for r in media.decode(rows).collect()}
+    payload = bytes(text).ljust(-(-len(text) // 192) * 192)
+    assert all(found[i] == (payload, None) for i in (0, 1, 6, 8))
+    assert all(found[i][0] is None and found[i][1] for i in (2, 3, 4, 5, 7))
+    assert {r["doc_id"] for r in media.clips(rows).collect()} == {0, 1, 6, 8}
+
+
+def test_names_that_clash(docs, bpe):
+    """Other columns are not read, whatever they are called."""
+    path, _ = bpe
+    clash = docs.selectExpr("*", *(f"1 as {c}" for c in ("ids", "media", "n_bytes", "payload", "spans", "base", "score", "n_tokens", "value", "statistics")))
+    for run in (media.encode, secrets.scan, licenses.scan, lambda x: byte_bpe.encode(x, path), lambda x: byte_bpe.digests(x, path)):
+        assert run(clash).count() == len(TEXTS)
+    assert quality.with_score(clash, quality.Ensemble(0.0), "own").columns == [*clash.columns, "own"]
+    assert secrets.redact(clash).columns == clash.columns
+
+
 def test_mixing(docs):
     mixed, name = mixing.mix(docs)
     rows = [(r["source"], *r[name]) for r in mixed.collect()]
@@ -382,8 +425,6 @@ def test_mixing(docs):
 
 
 def test_quality(spark):
-    from pyspark.sql import functions as F
-
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     model = quality.learn(docs, labels)
     scored = quality.with_score(docs, model, "score").join(labels, "doc_id").where(quality.held_out(F.col("doc_id"))).toPandas()
