@@ -195,6 +195,13 @@ class Automaton:
                 red.append(state)
                 seen.add(state)
         self.states = len(red)
+        self._keep(red)
+
+    def _keep(self, states: list[int]) -> None:
+        """Only the states that are left, numbered in their order; the first stays the first."""
+        number = {state: i for i, state in enumerate(states)}
+        self.next = [{c: number[b] for c, b in self.next[a].items()} for a in states]
+        self.count, self.ends, self.passes = ([own[a] for a in states] for own in (self.count, self.ends, self.passes))
 
     def _score(self) -> None:
         """Log2 probabilities, with a little mass kept for characters and ends not seen."""
