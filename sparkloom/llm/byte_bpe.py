@@ -11,9 +11,12 @@ same ids, at about ten times the cost a word, so the operator uses the array for
 A worker keeps the ids of up to ``CACHED`` distinct words between batches; beyond, it starts anew, so memory is bounded and
 results do not change. Nothing is shuffled: every text is encoded where it is read.
 
+Words are told apart by 64-bit hashes, and what the ids decode to is compared with the text: if it is not the same, every
+word is folded for itself.
+
 Cases: a null or empty text has no ids and decodes to no bytes; one very long word is folded with a heap, and a very long text
-in segments cut where the pattern must begin a new word; repeated rows are encoded row by row; a null key is kept; an empty
-table gives an empty result.
+goes through in segments cut where the pattern must begin a new word; repeated rows are encoded row by row; a null key is kept;
+an empty table gives an empty result; only the key and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -255,35 +258,57 @@ class Encoder:
         self.begin, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts, owners = [], []
+        return [ids for ids, _ in self.round_trip(texts)]
+
+    def round_trip(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text its ids, and the bytes that they decode to. A long text goes through in segments, one after another."""
+        found = [(np.zeros(0, np.int32), np.zeros(0, np.uint8))] * len(texts)
+        held: list[tuple[int, str]] = []
+        size = 0
+
+        def flush() -> None:
+            for (i, _), (ids, decoded) in zip(held, self._round_trip([part for _, part in held]), strict=True):
+                found[i] = (ids, decoded) if not len(found[i][0]) else tuple(np.concatenate(x) for x in zip(found[i], (ids, decoded), strict=True))
+            held.clear()
+
         for i, text in enumerate(texts):
             for part in segments(text):
-                parts.append(part)
-                owners.append(i)
-        sizes = [len(p) for p in parts]
+                if size + len(part) > SEGMENT and held:
+                    flush()
+                    size = 0
+                held.append((i, part))
+                size += len(part)
+        flush()
+        return found
+
+    def _round_trip(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         whole = "".join(parts)
         raw = np.frombuffer(whole.encode(), np.uint8)
         points = raw if len(raw) == len(whole) else np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-        at = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        at = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
         starts = word_starts(points, at, self.kinds)
-        bounds = np.searchsorted(starts, at)
+        bounds, ends = np.searchsorted(starts, at), at
         if len(raw) != len(whole):
             width = np.ones(len(points) + 1, np.int64)
             width[:-1] += (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
             byte_at = np.cumsum(width) - width
-            starts = byte_at[starts]
+            starts, ends = byte_at[starts], byte_at[at]
         stops = np.append(starts[1:], len(raw))[: len(starts)]
-        index = self._index(raw, starts, stops)
+        ids, edge = self._ids(self._index(raw, starts, stops), bounds)
+        decoded = self.rank_fold.decode(ids)
+        if not np.array_equal(decoded, raw):  # two words of one hash: each is folded for itself
+            self._forget()
+            ids, count = self.rank_fold.fold(raw, starts, stops)
+            edge, decoded = np.concatenate(([0], np.cumsum(count)))[bounds], self.rank_fold.decode(ids)
+        return [(ids[edge[k] : edge[k + 1]], decoded[ends[k] : ends[k + 1]]) for k in range(len(parts))]
+
+    def _ids(self, index: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at ``index``, and where they are at the words ``bounds``."""
         count = self.count[index]
         stop = np.cumsum(count)
         total = int(stop[-1]) if len(stop) else 0
         ids = self.ids[np.arange(total) + np.repeat(self.begin[index] - (stop - count), count)] if total else np.zeros(0, np.int32)
-        edge = np.concatenate(([0], stop))[bounds]
-        found = [np.zeros(0, np.int32)] * len(texts)
-        for k, i in enumerate(owners):
-            own = ids[edge[k] : edge[k + 1]]
-            found[i] = own if not len(found[i]) else np.concatenate((found[i], own))
-        return found
+        return ids, np.concatenate(([0], stop))[bounds]
 
     def _index(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """For each word the place of its ids."""
@@ -352,9 +377,9 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         encoder = Encoder(path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found, rows = encoder.encode([x or "" for x in batch.column(0).to_pylist()]), []
-            for ids in found:
-                decoded = encoder.rank_fold.decode(ids)
+            both, rows = encoder.round_trip([x or "" for x in batch.column(0).to_pylist()]), []
+            found = [ids for ids, _ in both]
+            for ids, decoded in both:
                 rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.tobytes()).hexdigest()))
             n, a, b = zip(*rows, strict=True)
             columns = [batch.column(1), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]

@@ -89,6 +89,20 @@ def test_byte_bpe_fuzz(bpe):
     assert encoder.encode([long])[0].tolist() == own.encode_ordinary(long)
 
 
+def test_byte_bpe_without_hashes(bpe, monkeypatch):
+    """Words that share a hash are folded apart, and long texts in segments give the ids of the whole."""
+    path, own = bpe
+    texts = ["some words and others", "", "漢字 it's 1234  end", "x " * 50]
+    monkeypatch.setattr(byte_bpe, "hashes", lambda raw, starts, stops: (stops - starts).astype(np.uint64))
+    encoder = byte_bpe.Encoder(path)
+    assert [x.tolist() for x in encoder.encode(texts)] == [own.encode_ordinary(t) for t in texts]
+    monkeypatch.undo()
+    monkeypatch.setattr(byte_bpe, "SEGMENT", 40)
+    long = [*texts, "a few words, then more of them. " * 30, "é" * 300]
+    for (ids, decoded), text in zip(byte_bpe.Encoder(path).round_trip(long), long, strict=True):
+        assert ids.tolist() == own.encode_ordinary(text) and decoded.tobytes() == text.encode()
+
+
 def test_byte_bpe_as_columns(spark, bpe):
     path, own = bpe
     words = ["", "a", " the", "Zürich", "漢字", "unbelievable", "  ", "aaaaaaaa"]
