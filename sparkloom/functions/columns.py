@@ -26,8 +26,13 @@ def choose2(x: Column) -> Column:
 
 
 def uniform(*keys) -> Column:
-    """A number in (0, 1) that depends on the keys alone, so it is the same under any partitioning and retry."""
-    h = F.shiftrightunsigned(F.xxhash64(*[k if isinstance(k, Column) else F.lit(k) for k in keys]), 11)
+    """A number in (0, 1) that depends on the keys alone, so it is the same under any partitioning and retry.
+
+    Plain numbers among the keys go in as one text: generated code refers to texts and has numbers written in, so code for
+    another seed or turn is not compiled anew.
+    """
+    plain = " ".join(str(k) for k in keys if not isinstance(k, (Column, str)))
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(plain), *[k for k in keys if isinstance(k, (Column, str))]), 11)
     return (h + F.lit(0.5)) / F.lit(float(1 << 53))
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import choose2, xlogx
 
-#: The best matching is found on the driver, up to so many blocks a side.
-MATCHED_BLOCKS = 4000
-
 
 def contingency(truth: DataFrame, found: DataFrame) -> DataFrame:
     """``truth, found, n``: nodes by both labels; nodes that one of them lacks are left out."""
@@ -60,61 +60,91 @@ def information_metrics(table: DataFrame) -> DataFrame:
     return s.withColumn("missed", F.when(F.col("h_truth") > 0, F.col("h_truth_given_found") / F.col("h_truth")).otherwise(0.0)).withColumn("wrong", F.when(F.col("h_found") > 0, F.col("h_found_given_truth") / F.col("h_found")).otherwise(0.0))
 
 
-def best_matching(weights: list[list[float]]) -> list[int]:
-    """For each row its column in a matching of greatest total weight; rows must not outnumber columns.
+def best_matching(cells: list[tuple[int, int, int]]) -> int:
+    """The greatest total weight of a matching, of cells ``row, column, weight`` with weights over 0.
 
-    Shortest augmenting paths with potentials, cubic in the number of blocks.
+    Rows are matched one after another along the cheapest path of reduced costs (Dijkstra with potentials); a row may stay
+    alone at no cost, which a column of its own with weight 0 stands for. Only cells are held, no matrix.
     """
-    rows, columns = len(weights), len(weights[0]) if weights else 0
-    infinity = float("inf")
-    u, v = [0.0] * (rows + 1), [0.0] * (columns + 1)
-    owner = [0] * (columns + 1)
-    for i in range(1, rows + 1):
-        owner[0], at = i, 0
-        least, seen, came = [infinity] * (columns + 1), [False] * (columns + 1), [0] * (columns + 1)
-        while owner[at]:
-            seen[at] = True
-            row, step, to = owner[at], infinity, 0
-            for j in range(1, columns + 1):
-                if not seen[j]:
-                    cost = -weights[row - 1][j - 1] - u[row] - v[j]
-                    if cost < least[j]:
-                        least[j], came[j] = cost, at
-                    if least[j] < step:
-                        step, to = least[j], j
-            for j in range(columns + 1):
-                if seen[j]:
-                    u[owner[j]] += step
-                    v[j] -= step
-                else:
-                    least[j] -= step
-            at = to
-        while at:
-            owner[at] = owner[came[at]]
-            at = came[at]
-    found = [-1] * rows
-    for j in range(1, columns + 1):
-        if owner[j]:
-            found[owner[j] - 1] = j - 1
-    return found
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for r, c, w in cells:
+        rows.setdefault(r, []).append((c, w))
+    for r, own in rows.items():
+        own.append((-1 - r, 0))  # columns are from 0
+    price: dict[int, int] = {}
+    gain = {r: max(w for _, w in own) for r, own in rows.items()}
+    owner: dict[int, int] = {}
+    taken: dict[int, int] = {}
+    for free in sorted(rows):
+        far: dict[int, int] = {}
+        came: dict[int, int] = {}
+        done: set[int] = set()
+        heap: list[tuple[int, int]] = []
+        row, base, settled = free, 0, []
+        while True:
+            for c, w in rows[row]:
+                d = base + gain[row] - w + price.get(c, 0)
+                if c not in done and d < far.get(c, d + 1):
+                    far[c], came[c] = d, row
+                    heapq.heappush(heap, (d, c))
+            while heap[0][1] in done or heap[0][0] > far[heap[0][1]]:
+                heapq.heappop(heap)
+            base, c = heapq.heappop(heap)
+            done.add(c)
+            settled.append((c, base))
+            if c not in owner:
+                break
+            row = owner[c]
+        for c_seen, d in settled:
+            if c_seen in owner:
+                gain[owner[c_seen]] -= base - d
+            price[c_seen] = price.get(c_seen, 0) + base - d
+        gain[free] -= base
+        while True:  # hand the columns down the path
+            row = came[c]
+            owner[c], before = row, taken.get(row)
+            taken[row] = c
+            if row == free:
+                break
+            c = before
+    weight = {(r, c): w for r, own in rows.items() for c, w in own}
+    return sum(weight[r, c] for r, c in taken.items())
+
+
+def components_of(table: DataFrame) -> DataFrame:
+    """``truth, found, n, part``: cells that share a block have one part, the least ``truth`` that can be reached."""
+    from sparkloom.plans.shared import cut
+
+    cells = cut(table.withColumn("part", F.col("truth")), "cells")
+    while True:
+        by_found = cells.groupBy("found").agg(F.min("part").alias("p"))
+        by_truth = cells.drop("part").join(by_found, "found").groupBy("truth").agg(F.min("p").alias("p"))
+        now = cut(cells.join(by_truth, "truth").select("truth", "found", "n", "part", "p"), "cells")
+        if not now.where("part <> p").limit(1).count():
+            return cells
+        cells = now.select("truth", "found", "n", F.col("p").alias("part"))
 
 
 def accuracy(table: DataFrame) -> float:
-    """Share of nodes on the diagonal of the best matching of blocks."""
-    rows = table.groupBy("truth").count().count()
-    columns = table.groupBy("found").count().count()
-    if max(rows, columns) > MATCHED_BLOCKS:
-        raise ValueError(f"the matching is for up to {MATCHED_BLOCKS} blocks")
-    cells = table.collect()  # bounded by the check above
-    a, b = sorted({c["truth"] for c in cells}), sorted({c["found"] for c in cells})
-    if len(a) > len(b):
-        cells, a, b = [{"truth": c["found"], "found": c["truth"], "n": c["n"]} for c in cells], b, a
-    weights = [[0.0] * len(b) for _ in a]
-    x, y = {k: i for i, k in enumerate(a)}, {k: i for i, k in enumerate(b)}
-    for c in cells:
-        weights[x[c["truth"]]][y[c["found"]]] = c["n"]
-    total = sum(map(sum, weights))
-    return sum(weights[i][j] for i, j in enumerate(best_matching(weights))) / total if total else 0.0
+    """Share of nodes on the diagonal of the best matching of blocks; exact for any number of them.
+
+    Blocks that no cells connect can't take each other's partners, so each connected part of the table is matched in a task
+    of its own, which holds that part's cells.
+    """
+    kind = dict(table.dtypes)["truth"]
+
+    def match(part: pd.DataFrame) -> pd.DataFrame:
+        a, b = pd.factorize(part["truth"], sort=True)[0], pd.factorize(part["found"], sort=True)[0]
+        best = best_matching(list(zip(a.tolist(), b.tolist(), part["n"].tolist(), strict=True)))
+        return pd.DataFrame({"part": part["part"][:1], "best": [best], "whole": [part["n"].sum()]})
+
+    found = components_of(table).groupBy("part").applyInPandas(match, f"part {kind}, best long, whole long").agg(F.sum("best"), F.sum("whole")).first()
+    return found[0] / found[1] if found[1] else 0.0
+
+
+def run_statistics(runs: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``by, runs, mean, spread``: number, mean and standard deviation (of the runs as a whole) of repeated runs."""
+    return runs.groupBy(*by).agg(F.count(value).alias("runs"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("spread"))
 
 
 def evaluate(truth: DataFrame, found: DataFrame) -> dict[str, float]:

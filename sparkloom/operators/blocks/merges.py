@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import join_gain, race, uniform, xlogx
 from sparkloom.operators.blocks.state import degrees
-
-#: Merges are ordered on the driver, a few bytes a block, up to so many blocks.
-DRIVER_BLOCKS = 2_000_000
+from sparkloom.operators.matrix import dense_ids
+from sparkloom.plans.shared import cut
 
 
 def adjacent_pairs(m: DataFrame) -> DataFrame:
@@ -41,20 +40,24 @@ def delta_entropy(m: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     return whole.groupBy("r", "s").agg(F.sum("delta").alias("delta"))
 
 
-def sampled_pairs(m: DataFrame, proposals: int, seed: int) -> DataFrame:
-    """``proposals`` candidates a block, drawn through a neighbour as in a node move, as pairs ``r < s``."""
+def sampled_pairs(m: DataFrame, proposals: int, seed: int, blocks: int) -> DataFrame:
+    """``proposals`` candidates a block, drawn as in a node move, as pairs ``r < s``; blocks are named 0 to ``blocks - 1``.
+
+    A neighbour u is drawn by weight; then, with probability B / (d(u) + B), any other block, else one that u has edges with.
+    """
     d = degrees(m)
     cells = m.unionByName(m.select(F.col("c").alias("r"), F.col("r").alias("c"), "m")).groupBy("r", "c").agg(F.sum("m").alias("m")).where("r <> c")
-    n = cells.select("r").distinct().count()
     draws = cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(proposals))).alias("draw"))
     first = draws.groupBy("r", "draw").agg(F.min_by("c", F.struct(race(F.col("m"), seed, "r", "draw", "c"), "c")).alias("u"))
     at = first.join(d.select(F.col("block").alias("u"), "d"), "u")
-    through = at.where(uniform(seed + 1, F.col("r"), F.col("draw")) >= n / (F.col("d") + n))
-    second = through.join(cells.select(F.col("r").alias("u"), F.col("c").alias("s"), "m"), "u").where("s <> r")
-    chosen = second.groupBy("r", "draw").agg(F.min_by("s", F.struct(race(F.col("m"), seed + 2, "r", "draw", "s"), "s")).alias("s"))
-    # what is drawn from all blocks stays with the neighbour
-    rest = at.join(chosen.select("r", "draw"), ["r", "draw"], "left_anti").select("r", "draw", F.col("u").alias("s"))
-    both = chosen.unionByName(rest)
+    far = uniform(seed + 1, F.col("r"), F.col("draw")) < blocks / (F.col("d") + blocks)
+    second = at.where(~far).join(cells.select(F.col("r").alias("u"), F.col("c").alias("s"), "m"), "u").where("s <> r")
+    near = second.groupBy("r", "draw").agg(F.min_by("s", F.struct(race(F.col("m"), seed + 2, "r", "draw", "s"), "s")).alias("s"))
+    # one of the others, by number; also for those whose neighbour has no other
+    rest = at.join(near.select("r", "draw"), ["r", "draw"], "left_anti")
+    drawn = F.floor(uniform(seed + 3, F.col("r"), F.col("draw")) * (blocks - 1)).cast("long")
+    rest = rest.select("r", "draw", (drawn + F.when(drawn >= F.col("r"), 1).otherwise(0)).alias("s"))
+    both = near.unionByName(rest).where((F.col("s") >= 0) & (F.col("s") < blocks))
     return both.select(F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s")).distinct()
 
 
@@ -64,38 +67,36 @@ def best_merges(deltas: DataFrame) -> DataFrame:
     return both.groupBy("block").agg(F.min_by("partner", F.struct("delta", "partner")).alias("partner"), F.min("delta").alias("delta"))
 
 
+def chosen_merges(best: DataFrame, merges: int) -> DataFrame:
+    """``block, partner`` of the ``merges`` cheapest merges that join different blocks, ties going to the smaller block.
+
+    Blocks that are each other's best offer one merge twice. A longer circle of best merges there can't be: its costs would
+    all be equal, and each block would have taken the smaller of two equal partners. So without the second of such twins no
+    merge joins what others have joined, and the cheapest are the first by cost.
+    """
+    other = best.select(F.col("block").alias("partner"), F.col("partner").alias("block"), F.lit(True).alias("twin"))
+    once = best.join(other, ["block", "partner"], "left").where("twin is null or block < partner").select("block", "partner", "delta")
+    place = dense_ids(once, ["delta", "block"], "block").where(F.col("place") < merges)
+    return once.join(place.select("block"), "block", "left_semi").select("block", "partner")
+
+
+def merged_names(best: DataFrame, merges: int) -> DataFrame:
+    """``block, new`` of every block in the ``merges`` cheapest merges: what merges gets the smallest of its names.
+
+    A block points to its partner, and pointers are followed two at a time until they end, so the rounds are the logarithm
+    of the longest row of blocks that merge.
+    """
+    up = cut(chosen_merges(best, merges).select("block", F.col("partner").alias("top")), "pointers")
+    while True:
+        higher = up.select(F.col("block").alias("top"), F.col("top").alias("next"))
+        now = cut(up.join(higher, "top", "left").select("block", F.coalesce("next", "top").alias("top"), F.col("next").isNotNull().alias("moved")), "pointers")
+        if not now.where("moved").limit(1).count():
+            break
+        up = now.select("block", "top")
+    names = up.select("block", "top").unionByName(up.select(F.col("top").alias("block"), "top")).groupBy("top").agg(F.min("block").alias("new"))
+    return up.join(names, "top").select("block", "new").unionByName(names.select(F.col("top").alias("block"), "new"))
+
+
 def carry_out(labels: DataFrame, best: DataFrame, merges: int) -> DataFrame:
     """``labels`` after the ``merges`` cheapest merges that join different blocks; blocks keep the smallest name."""
-    spark = labels.sparkSession
-    if best.count() > DRIVER_BLOCKS:
-        return carry_out_mutual(labels, best)
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while x in up:
-            if up[x] in up:
-                up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    done = 0
-    for row in best.orderBy("delta", "block").toLocalIterator():
-        if done >= merges:
-            break
-        a, b = root(row["block"]), root(row["partner"])
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            done += 1
-    moved = [(x, root(x)) for x in up]
-    if not moved:
-        return labels
-    kind = dict(labels.dtypes)["block"]
-    table = spark.createDataFrame(moved, f"block {kind}, new {kind}")
-    return labels.join(table, "block", "left").select("node", F.coalesce("new", "block").alias("block"))
-
-
-def carry_out_mutual(labels: DataFrame, best: DataFrame) -> DataFrame:
-    """For numbers of blocks that the driver should not hold: blocks that are each other's best merge, all at once."""
-    other = best.select(F.col("block").alias("partner"), F.col("partner").alias("block"))
-    mutual = best.join(other, ["block", "partner"], "left_semi").where("block > partner").select("block", F.col("partner").alias("new"))
-    return labels.join(mutual, "block", "left").select("node", F.coalesce("new", "block").alias("block"))
+    return labels.join(merged_names(best, merges), "block", "left").select("node", F.coalesce("new", "block").alias("block"))

@@ -8,10 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.blocks.local import LOCAL_EDGES, partition_local
-from sparkloom.operators.blocks.merges import adjacent_pairs, best_merges, carry_out, delta_entropy, sampled_pairs
-from sparkloom.operators.blocks.moves import settle
-from sparkloom.operators.blocks.state import edge_counts, identity_labels, overall_entropy
+from sparkloom.operators.blocks.local import partition_local
+from sparkloom.operators.blocks.merges import adjacent_pairs, best_merges, delta_entropy, merged_names, sampled_pairs
+from sparkloom.operators.blocks.moves import ends_of, settle
+from sparkloom.operators.blocks.state import dense_blocks, edge_counts, identity_labels, model_entropy, overall_entropy, renamed
 from sparkloom.plans.shared import cut
 
 GOLDEN = 0.61803399
@@ -19,49 +19,75 @@ GOLDEN = 0.61803399
 
 @dataclass
 class Point:
-    """Labels of one number of blocks, and their entropy."""
+    """Labels of one number of blocks, their entropy, and the block matrix where it is known."""
 
     labels: DataFrame | None = None
     entropy: float = math.inf
     blocks: int = 0
+    m: DataFrame | None = None
 
 
 @dataclass
 class Bracket:
-    """The best point found, one with more blocks before it and one with fewer after it."""
+    """What has been tried, by number of blocks; the best, and the nearest tried on both its sides, bound the search."""
 
-    points: list[Point] = field(default_factory=lambda: [Point(), Point(), Point()])
+    tried: dict[int, Point] = field(default_factory=dict)
+
+    def put(self, p: Point) -> None:
+        held = self.tried.get(p.blocks)
+        if held is None or p.entropy <= held.entropy:
+            self.tried[p.blocks] = p
 
     @property
     def best(self) -> Point:
-        return self.points[1]
+        return min(self.tried.values(), key=lambda p: (p.entropy, p.blocks), default=Point())
 
     @property
-    def closed(self) -> bool:
-        return math.isfinite(self.points[2].entropy)
+    def more(self) -> Point | None:
+        """The tried point of least blocks above the best."""
+        return min((p for p in self.tried.values() if p.blocks > self.best.blocks), key=lambda p: p.blocks, default=None)
 
-    def put(self, p: Point) -> None:
-        best = self.points[1]
-        if p.entropy <= best.entropy:
-            self.points[0 if best.blocks > p.blocks else 2] = best
-            self.points[1] = p
-        else:
-            self.points[2 if best.blocks > p.blocks else 0] = p
+    @property
+    def fewer(self) -> Point | None:
+        """The tried point of most blocks below the best."""
+        return max((p for p in self.tried.values() if p.blocks < self.best.blocks), key=lambda p: p.blocks, default=None)
+
+    @property
+    def points(self) -> list[Point]:
+        return [p for p in (self.more, self.best, self.fewer) if p is not None]
+
+    @property
+    def closed(self) -> bool:
+        return self.fewer is not None
 
     def next(self, rate: float) -> tuple[Point, int]:
-        """Where to go on from, and how many blocks to merge away; 0: the search is over."""
-        high, best, low = self.points
+        """Where to go on from, and how many blocks to merge away; 0: the search is over.
+
+        Until a point below the best is worse, a share of the best's blocks goes; then the wider side of the best is cut by
+        the golden ratio.
+        """
         if not self.closed:
-            return best, int(best.blocks * rate)
-        if high.blocks - low.blocks == 2 or not math.isfinite(high.entropy) and best.blocks - low.blocks <= 1:
-            return best, 0
-        upper = high.blocks - best.blocks >= best.blocks - low.blocks and math.isfinite(high.entropy)
-        start, end = (high, best) if upper else (best, low)
+            return self.best, int(self.best.blocks * rate)
+        around = self.points
+        sides = sorted(zip(around, around[1:], strict=False), key=lambda side: side[1].blocks - side[0].blocks)
+        start, end = sides[0]
         target = end.blocks + round((start.blocks - end.blocks) * GOLDEN)
-        merges = start.blocks - target
-        if merges <= 0 or target in {p.blocks for p in self.points}:
-            return best, 0
-        return start, merges
+        return (start, start.blocks - target) if end.blocks < target < start.blocks else (self.best, 0)
+
+    def least_by_parabola(self) -> float | None:
+        """The number of blocks at which a parabola through the three points is least; None where there is none."""
+        if len(self.points) < 3:
+            return None
+        (x1, y1), (x2, y2), (x3, y3) = ((float(p.blocks), p.entropy) for p in self.points)
+        one, two = (y2 - y1) / (x2 - x1), (y3 - y2) / (x3 - x2)
+        bend = (two - one) / (x3 - x1)
+        return (x1 + x2) / 2 - one / (2 * bend) if bend > 0 else None
+
+    def slope(self) -> float | None:
+        """How much the entropy changes with a block, from the best to the nearer of its neighbours."""
+        best = self.best
+        near = min((p for p in self.points if p is not best), key=lambda p: abs(p.blocks - best.blocks), default=None)
+        return None if near is None else abs(near.entropy - best.entropy) / abs(near.blocks - best.blocks)
 
 
 @dataclass
@@ -72,37 +98,52 @@ class Result:
     bracket: Bracket
 
 
-def step(edges: DataFrame, start: Point, merges: int, nodes: int, n_edges: float, threshold: float, seed: int, batches: int = 4, proposals: int | None = None, most_sweeps: int = 100, least_moves: float = 0.0, form: str = "documented") -> Point:
-    """Merge away blocks of ``start``, then let the nodes settle."""
-    m = cut(edge_counts(edges, start.labels), "matrix")
-    pairs = adjacent_pairs(m) if proposals is None else sampled_pairs(m, proposals, seed)
-    labels = cut(carry_out(start.labels, best_merges(delta_entropy(m, pairs)), merges), "labels")
-    blocks = labels.select("block").distinct().count()
-    labels, entropy, _ = settle(edges, labels, blocks, nodes, n_edges, threshold, seed, batches, most_sweeps, least_moves=least_moves, form=form)
-    return Point(labels, entropy, labels.select("block").distinct().count())
+def as_dense(edges: DataFrame, point: Point) -> Point:
+    """``point`` with blocks named 0, 1, 2, ... and its matrix."""
+    if point.m is not None:
+        return point
+    labels, _, blocks = dense_blocks(point.labels)
+    return Point(labels, point.entropy, blocks, cut(edge_counts(edges, labels), "matrix"))
+
 
+def step(edges: DataFrame, start: Point, merges: int, nodes: int, n_edges: float, threshold: float, seed: int, batches: int = 4, proposals: int | None = None, most_sweeps: int = 100, least_moves: float = 0.0, form: str = "documented", ends: DataFrame | None = None) -> Point:
+    """Merge away blocks of ``start``, then let the nodes settle. The matrix follows merges and moves, and is not counted anew."""
+    start = as_dense(edges, start)
+    pairs = adjacent_pairs(start.m) if proposals is None else sampled_pairs(start.m, proposals, seed, start.blocks)
+    merged = cut(merged_names(best_merges(delta_entropy(start.m, pairs)), merges), "merged")
+    labels = start.labels.join(merged, "block", "left").select("node", F.coalesce("new", "block").alias("block"))
+    every = start.labels.select("block").distinct().join(merged, "block", "left").select("block", F.coalesce("new", "block").alias("new"))
+    labels, m, blocks = dense_blocks(labels, renamed(start.m, every))
+    done = settle(edges, labels, blocks, nodes, n_edges, threshold, seed, batches, most_sweeps, least_moves=least_moves, form=form, m=m, ends=ends)
+    labels, m, left = dense_blocks(done.labels, done.m)
+    entropy = done.entropy - model_entropy(blocks, nodes, n_edges, form) + model_entropy(left, nodes, n_edges, form)
+    return Point(labels, entropy, left, m)
 
-def partition(edges: DataFrame, truth: DataFrame | None = None, *, seed: int = 1, rate: float = 0.5, first_rate: float | None = None, batches: int = 4, proposals: int | None = None, min_blocks: int = 0, stop_at_bracket: bool = False, resume: Bracket | None = None, most_sweeps: int = 100, least_moves: float = 0.0, form: str = "documented", n_edges: float | None = None, local: bool | None = None) -> Result:
-    """Labels of least entropy that the search finds.
 
-    local: in one task, nodes moving one after another; by default so for graphs of up to ``LOCAL_EDGES`` edges.
+def partition(edges: DataFrame, truth: DataFrame | None = None, *, seed: int = 1, rate: float = 0.5, first_rate: float | None = None, batches: int = 4, proposals: int | None = None, min_blocks: int = 0, stop_at_bracket: bool = False, resume: Bracket | None = None, most_sweeps: int = 100, least_moves: float = 0.0, least_slope: float = 0.0, form: str = "documented", n_edges: float | None = None, local: bool = False) -> Result:
+    """Labels of least entropy that the search finds; blocks are named 0, 1, 2, ...
 
-    resume: the bracket of an earlier, stopped search. truth: only its nodes are used, so isolated ones count.
+    local: search in one task, nodes moving one after another, for a graph that the caller knows to be small. Nothing else
+    decides how a graph is searched.
+
+    resume: the bracket of an earlier, stopped search. truth: only its nodes are used, so isolated ones count. least_slope: the
+    search also ends where a block more or less changes the entropy by less.
     """
     edges = cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "edges")
     n_edges = float(edges.agg(F.sum("weight")).first()[0] or 0) if n_edges is None else n_edges
-    plain = resume is None and not stop_at_bracket and proposals is None
-    if local or local is None and plain and edges.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
+    if local:
+        if resume is not None or stop_at_bracket or proposals is not None:
+            raise ValueError("a search in one task can't be stopped, resumed or sampled")
         every = identity_labels(edges, truth)
-        labels = cut(partition_local(edges, every, seed=seed, rate=rate, min_blocks=min_blocks, most_sweeps=most_sweeps, form=form), "labels")
-        blocks, nodes = labels.select("block").distinct().count(), labels.count()
-        found = Point(labels, overall_entropy(edge_counts(edges, labels), blocks, nodes, n_edges, form), blocks)
-        return Result(labels, blocks, found.entropy, Bracket([Point(), found, Point()]))
+        labels, _, blocks = dense_blocks(partition_local(edges, every, seed=seed, rate=rate, min_blocks=min_blocks, most_sweeps=most_sweeps, form=form))
+        found = Point(labels, overall_entropy(edge_counts(edges, labels), blocks, labels.count(), n_edges, form), blocks)
+        return Result(labels, blocks, found.entropy, Bracket({blocks: found}))
+    ends = cut(ends_of(edges), "ends")
     if resume is None:
-        labels = cut(identity_labels(edges, truth), "labels")
-        nodes = labels.count()
+        labels, _, nodes = dense_blocks(identity_labels(edges, truth))
+        m = cut(edge_counts(edges, labels), "matrix")
         bracket = Bracket()
-        bracket.put(Point(labels, overall_entropy(edge_counts(edges, labels), nodes, nodes, n_edges, form), nodes))
+        bracket.put(Point(labels, overall_entropy(m, nodes, nodes, n_edges, form), nodes, m))
     else:
         bracket = resume
         nodes = bracket.best.labels.count()
@@ -112,8 +153,10 @@ def partition(edges: DataFrame, truth: DataFrame | None = None, *, seed: int = 1
         now_rate = rate
         if merges <= 0 or start.labels is None or start.blocks - merges < max(1, min_blocks) or stop_at_bracket and bracket.closed:
             break
+        if least_slope and bracket.closed and bracket.slope() < least_slope:
+            break
         threshold = 1e-4 if bracket.closed else 5e-4
-        found = step(edges, start, merges, nodes, n_edges, threshold, seed + 101 * turn, batches, proposals, most_sweeps, least_moves, form)
+        found = step(edges, start, merges, nodes, n_edges, threshold, seed + 101 * turn, batches, proposals, most_sweeps, least_moves, form, ends)
         if found.blocks >= start.blocks:
             break
         bracket.put(found)
@@ -137,9 +180,9 @@ def partition_decimated(edges: DataFrame, parts: int, **options) -> Result:
         offset += found.blocks
     every = identity_labels(edges)
     labels = every if whole is None else every.select("node").join(whole, "node", "left").select("node", F.coalesce("block", "node").alias("block"))
-    labels = cut(labels, "labels")
-    nodes, blocks = labels.count(), labels.select("block").distinct().count()
-    n_edges = float(edges.agg(F.sum("weight")).first()[0])
+    labels, _, blocks = dense_blocks(labels)
+    nodes, n_edges = labels.count(), float(edges.agg(F.sum("weight")).first()[0])
+    m = cut(edge_counts(edges, labels), "matrix")
     bracket = Bracket()
-    bracket.put(Point(labels, overall_entropy(edge_counts(edges, labels), blocks, nodes, n_edges), blocks))
-    return partition(edges, resume=bracket, **options)
+    bracket.put(Point(labels, overall_entropy(m, blocks, nodes, n_edges), blocks, m))
+    return partition(edges, resume=bracket, **{k: v for k, v in options.items() if k != "local"})

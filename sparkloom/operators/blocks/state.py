@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import xlogx
+from sparkloom.operators.matrix import dense_ids
+from sparkloom.plans.shared import cut
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -22,6 +24,18 @@ def identity_labels(edges: DataFrame, truth: DataFrame | None = None) -> DataFra
     return nodes.select("node", F.col("node").alias("block"))
 
 
+def dense_blocks(labels: DataFrame, m: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, int]:
+    """Labels whose blocks are named 0, 1, 2, ... in the order of their names, the matrix alike, and the number of blocks."""
+    names = cut(dense_ids(labels.select("block").distinct().withColumn("by", F.col("block")), ["by"], "block").withColumnRenamed("place", "new"), "names")
+    return cut(labels.join(names, "block").select("node", F.col("new").alias("block")), "labels"), None if m is None else cut(renamed(m, names), "matrix"), names.count()
+
+
+def renamed(m: DataFrame, names: DataFrame) -> DataFrame:
+    """``m`` with the blocks that ``names`` (``block, new``) gives; blocks of one new name become one."""
+    left, right = names.select(F.col("block").alias("r"), F.col("new").alias("r2")), names.select(F.col("block").alias("c"), F.col("new").alias("c2"))
+    return m.join(left, "r").join(right, "c").groupBy(F.col("r2").alias("r"), F.col("c2").alias("c")).agg(F.sum("m").alias("m"))
+
+
 def edge_counts(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Weight between blocks: ``r, c, m``. Nodes without a label are left out."""
     left = labels.select(F.col("node").alias("src"), F.col("block").alias("r"))

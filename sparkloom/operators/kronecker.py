@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions.columns import uniform
-from sparkloom.operators.matrix import degree_distribution, kron
+from sparkloom.operators.matrix import degree_distribution, kron, unequal
 
 #: Exact whole numbers beyond 64 bits.
 WHOLE = T.DecimalType(38, 0)
@@ -110,17 +111,47 @@ def design_degrees(sizes: list[int], kind: int = 0) -> dict[int, int]:
 
 def design_table(spark: SparkSession, sizes: list[int], kind: int = 0) -> DataFrame:
     """``degree, n`` as exact decimals."""
-    from decimal import Decimal
-
     rows = [(Decimal(d), Decimal(n)) for d, n in sorted(design_degrees(sizes, kind).items())]
     return spark.createDataFrame(rows, T.StructType([T.StructField("degree", WHOLE), T.StructField("n", WHOLE)]))
 
 
 def check(spark: SparkSession, sizes: list[int], kind: int = 0) -> DataFrame:
-    """Degrees whose predicted and measured counts differ; empty for a right graph."""
-    measured = degree_distribution(generate(spark, sizes, kind)).select(F.col("degree").cast(WHOLE), F.col("n").cast(WHOLE).alias("measured"))
-    predicted = design_table(spark, sizes, kind).withColumnRenamed("n", "predicted")
-    return predicted.join(measured, "degree", "full").where(~F.col("predicted").eqNullSafe(F.col("measured")))
+    """``property, predicted, measured``: vertices, entries, triangles, edges of the 3-truss, and the vertices of each degree.
+
+    What is predicted comes from the factors alone, what is measured from the generated graph; equal for a right one. The truss
+    has no closed form for kind 1, and is not listed there.
+    """
+    from sparkloom.operators.triangles import simple_edges, triangle_count, truss
+    from sparkloom.plans.shared import cut
+
+    graph = cut(generate(spark, sizes, kind), "kronecker")
+    edges = simple_edges(graph, "i", "j")
+    theory = design(sizes, kind)
+    facts = [("vertices", theory.vertices), ("entries", theory.nnz), ("triangles", theory.triangles), ("truss_3_edges", theory.truss_edges)]
+    facts += [(f"degree {d}", n) for d, n in design_degrees(sizes, kind).items()]
+    schema = T.StructType([T.StructField("property", T.StringType()), T.StructField("predicted", WHOLE)])
+    predicted = spark.createDataFrame([(name, Decimal(n)) for name, n in facts if n is not None], schema)
+    named = lambda name, rows, value: rows.select(F.lit(name).alias("property"), F.col(value).cast(WHOLE).alias("measured"))
+    measured = named("vertices", graph.select(F.explode(F.array("i", "j")).alias("x")).agg(F.count_distinct("x").alias("n")), "n")
+    measured = measured.unionByName(named("entries", graph.agg(F.count("*").alias("n")), "n")).unionByName(named("triangles", triangle_count(edges), "triangles"))
+    if theory.truss_edges is not None:
+        measured = measured.unionByName(named("truss_3_edges", truss(edges, 3).agg(F.count("*").alias("n")), "n"))
+    degrees = degree_distribution(graph).select(F.concat(F.lit("degree "), F.col("degree").cast("string")).alias("property"), F.col("n").cast(WHOLE).alias("measured"))
+    return predicted.join(measured.unionByName(degrees), "property", "full")
+
+
+def factors_agree(spark: SparkSession, sizes: list[int], kind: int = 0, split: int = 1) -> DataFrame:
+    """Entries in which the product of two parts of the factors and the product of all differ; the last loop counts. Empty if right."""
+    left, right = sizes[:split], sizes[split:]
+    whole, one, two = (_with_loop(spark, generate(spark, part, kind), part, kind) for part in (sizes, left, right))
+    return unequal(whole, kron(one, two, math.prod(m + 1 for m in right)))
+
+
+def _with_loop(spark: SparkSession, graph: DataFrame, sizes: list[int], kind: int) -> DataFrame:
+    if not kind:
+        return graph
+    at = F.lit(loop_place(sizes, kind)).cast("long")
+    return graph.unionByName(spark.range(1).select(at.alias("i"), at.alias("j"), F.lit(1).cast("long").alias("v")))
 
 
 def windows(sizes: list[int]) -> list[list[int]]:
@@ -138,16 +169,16 @@ def split_design(sizes: list[int], most: int) -> tuple[list[int], list[int]]:
 
 
 def rmat(spark: SparkSession, scale: int, edge_factor: int = 16, a: float = 0.57, b: float = 0.19, c: float = 0.19, seed: int = 1) -> DataFrame:
-    """R-MAT edges ``src, dst``, 0-based: one bit of both ends at a time, then vertices renumbered by a seeded bijection."""
-    n = edge_factor << scale
-    norm_right, norm_left = c / (1 - (a + b)), a / (a + b)
-    src = dst = F.lit(0).cast("long")
-    for bit in range(scale):
-        down = uniform(seed, bit, 0, F.col("id")) > a + b
-        right = uniform(seed, bit, 1, F.col("id")) > F.when(down, norm_right).otherwise(norm_left)
-        src = src + F.when(down, 1 << bit).otherwise(0)
-        dst = dst + F.when(right, 1 << bit).otherwise(0)
-    rows = spark.range(n).select(src.cast("long").alias("src"), dst.cast("long").alias("dst"))
+    """R-MAT edges ``src, dst``, 0-based: one draw a bit picks a quadrant, then vertices are renumbered by a seeded bijection.
+
+    The quadrants lie in [0, 1) one after another with widths ``a``, ``b``, ``c`` and the rest; a place in the second or last
+    sets the bit of ``dst``, one in the third or last that of ``src``.
+    """
+    draws = [uniform(seed, bit, F.col("id")) for bit in range(scale)]
+    set_bits = lambda hit: sum((F.when(hit(u), 1 << bit).otherwise(0) for bit, u in enumerate(draws)), F.lit(0).cast("long"))
+    src = set_bits(lambda u: u >= a + b)
+    dst = set_bits(lambda u: (u >= a) & (u < a + b) | (u >= a + b + c))
+    rows = spark.range(edge_factor << scale).select(src.cast("long").alias("src"), dst.cast("long").alias("dst"))
     return rows.select(scramble(F.col("src"), scale, seed).alias("src"), scramble(F.col("dst"), scale, seed).alias("dst"))
 
 

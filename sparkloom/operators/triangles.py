@@ -39,19 +39,57 @@ def triangle_count(edges: DataFrame) -> DataFrame:
     return wedges.join(edges.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"]).agg(F.count("*").alias("triangles"))
 
 
-def triangle_count_algebra(adjacency: DataFrame) -> DataFrame:
-    """A sixth of the sum of ``A² ∘ A``, from symmetric triples ``i, j, v``."""
-    from sparkloom.operators.matrix import hadamard, product
+def masked_wedges(first: DataFrame, second: DataFrame, mask: DataFrame) -> DataFrame:
+    """``i, j, k``: a row for each term of ``A B ∘ M`` for 0-1 triples, k being the inner index; no product is summed before the mask.
+
+    The middle of a wedge is taken in the order of (degree, id): of its two ends the one of fewer entries leads, so a hub's
+    wedges are looked up from its neighbours and its degree is never squared.
+    """
+    left = first.select("i", F.col("j").alias("k"))
+    right = second.select(F.col("i").alias("k"), "j")
+    rows_left = left.groupBy("i").agg(F.count("*").alias("out"))  # terms that the row would make
+    rows_right = right.groupBy("j").agg(F.count("*").alias("into"))
+    # each cell of the mask asks the shorter of its two lists, and the other is joined whole
+    asked = mask.select("i", "j").join(rows_left, "i").join(rows_right, "j")
+    by_left = asked.where("out <= into").select("i", "j").join(left, "i").join(right, ["k", "j"], "left_semi")
+    by_right = asked.where("out > into").select("i", "j").join(right, "j").join(left, ["i", "k"], "left_semi")
+    return by_left.select("i", "j", "k").unionByName(by_right.select("i", "j", "k"))
+
 
-    return hadamard(product(adjacency, adjacency), adjacency).agg((F.coalesce(F.sum("v"), F.lit(0)) / 6).cast("long").alias("triangles"))
+def triangle_count_algebra(adjacency: DataFrame) -> DataFrame:
+    """A sixth of the sum of ``A² ∘ A``, from symmetric 0-1 triples ``i, j, v``; the mask comes before the sum."""
+    return masked_wedges(adjacency, adjacency, adjacency).agg((F.count("*") / 6).cast("long").alias("triangles"))
 
 
 def triangle_count_lower(adjacency: DataFrame) -> DataFrame:
-    """The sum of ``L L ∘ L`` for the lower triangle L."""
-    from sparkloom.operators.matrix import hadamard, lower, product
+    """The sum of ``L L ∘ L`` for the lower triangle L; the mask comes before the sum."""
+    from sparkloom.operators.matrix import lower
 
     low = lower(adjacency)
-    return hadamard(product(low, low), low).agg(F.coalesce(F.sum("v"), F.lit(0)).cast("long").alias("triangles"))
+    return masked_wedges(low, low, low).agg(F.count("*").alias("triangles"))
+
+
+def triangle_count_incidence(adjacency: DataFrame, incidence: DataFrame) -> DataFrame:
+    """A third of the entries of ``A B`` that are 2, for an incidence matrix B of ``vertex, edge, v``.
+
+    An entry counts the ends of the edge that the vertex is joined with; it can be 2 only if both are, so a vertex and an edge
+    that meet twice are a triangle. Edges go to their end of fewer neighbours, whose list is looked up at the other end.
+    """
+    ends = incidence.where("v <> 0").groupBy("edge").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).where("a <> b")
+    plain = adjacency.where("i <> j and v <> 0")
+    corners = masked_wedges(plain, plain, ends.select(F.col("a").alias("i"), F.col("b").alias("j")).distinct())
+    found = corners.join(ends.select(F.col("a").alias("i"), F.col("b").alias("j"), "edge"), ["i", "j"])
+    return found.agg((F.count("*") / 3).cast("long").alias("triangles"))
+
+
+def edges_of_wedges(edges: DataFrame) -> DataFrame:
+    """``a, b, corners``: of each edge the list of vertices joined with both its ends, in order; edges without one are left out.
+
+    It is the product of adjacency and incidence whose entries are joined to lists in place of being summed, of which only
+    entries with two contributions stay.
+    """
+    found = sides(triangles(edges))
+    return found.groupBy("a", "b").agg(F.sort_array(F.collect_list("x")).alias("corners"))
 
 
 def vertex_degrees(found: DataFrame) -> DataFrame:
@@ -59,10 +97,10 @@ def vertex_degrees(found: DataFrame) -> DataFrame:
     return found.select(F.explode(F.array("a", "b", "c")).alias("vertex")).groupBy("vertex").agg(F.count("*").alias("triangles"))
 
 
-def sides(found: DataFrame) -> DataFrame:
-    """``a, b, x``: each side of each triangle with the corner opposite."""
+def sides(found: DataFrame, *more: str) -> DataFrame:
+    """``a, b, x``: each side of each triangle with the corner opposite, and the columns ``more``."""
     rows = F.array(*[F.struct(F.col(p).alias("a"), F.col(q).alias("b"), F.col(r).alias("x")) for p, q, r in ("abc", "acb", "bca")])
-    return found.select(F.explode(rows).alias("s")).select("s.*")
+    return found.select(F.explode(rows).alias("s"), *more).select("s.*", *more)
 
 
 def edge_degrees(found: DataFrame) -> DataFrame:
@@ -78,40 +116,48 @@ def edge_support(edges: DataFrame) -> DataFrame:
 def k_counts(edges: DataFrame, cap: int | None = None) -> DataFrame:
     """``k, triangles``: by the largest clique each triangle could be in, judged by the degrees of its corners and sides.
 
-    A triangle can be in a clique of k only if each corner is in C(k - 1, 2) triangles and each side in k - 2.
+    A triangle can be in a clique of k only if each corner is in C(k - 1, 2) triangles and each side in k - 2. An edge's degree
+    and those of its ends make its bound, and a triangle has the least of its sides' bounds, so the bounds meet the triangles
+    in one join.
     """
     from sparkloom.plans.shared import cut
 
-    found = cut(triangles(edges), "triangles")  # used by six joins
-    corner, side = vertex_degrees(found), edge_degrees(found)
-    t = found
-    for n in "abc":
-        t = t.join(corner.select(F.col("vertex").alias(n), F.col("triangles").alias(f"t{n}")), n)
-    for p, q in ("ab", "ac", "bc"):
-        t = t.join(side.select(F.col("a").alias(p), F.col("b").alias(q), F.col("triangles").alias(f"t{p}{q}")), [p, q])
-    by_corner = F.floor((3 + F.sqrt(1 + 8 * F.least("ta", "tb", "tc"))) / 2)
-    k = F.least(by_corner, F.least("tab", "tac", "tbc") + 2)
-    if cap is not None:
-        k = F.least(k, F.lit(cap))
-    return t.select(k.cast("long").alias("k")).groupBy("k").agg(F.count("*").alias("triangles"))
+    found = cut(triangles(edges).withColumn("t", F.monotonically_increasing_id()), "triangles")  # read twice
+    side = edge_degrees(found)
+    # a vertex is in half as many triangles as its edges together
+    ends = side.select(F.explode(F.array("a", "b")).alias("x"), "triangles").groupBy("x").agg((F.sum("triangles") / 2).cast("long").alias("n"))
+    both = side.join(ends.select(F.col("x").alias("a"), F.col("n").alias("na")), "a").join(ends.select(F.col("x").alias("b"), F.col("n").alias("nb")), "b")
+    by_corner = F.floor((3 + F.sqrt(1 + 8 * F.least("na", "nb"))) / 2)
+    bounds = both.select("a", "b", F.least(by_corner, F.col("triangles") + 2).cast("long").alias("k"))
+    k = F.min("k") if cap is None else F.least(F.min("k"), F.lit(cap)).cast("long")
+    of_triangle = sides(found, "t").join(bounds, ["a", "b"]).groupBy("t").agg(k.alias("k"))
+    return of_triangle.groupBy("k").agg(F.count("*").alias("triangles"))
 
 
 def truss(edges: DataFrame, k: int) -> DataFrame:
     """The k-truss: what is left when edges in fewer than ``k - 2`` triangles go, until none does.
 
-    Each round finds the triangles of what is left, and writes what stays to the shared folder.
+    Triangles are listed once. A round finds the edges short of triangles, takes out the triangles they are a side of, and
+    counts the rest anew from what is left; triangles and edges that are left are written to the shared folder.
     """
-    from sparkloom.plans.shared import cut
-
-    now = cut(edges.select("a", "b"), "truss")
-    n = now.count()
-    while n and k > 2:
-        kept = edge_degrees(triangles(now)).where(F.col("triangles") >= k - 2).select("a", "b")
-        now = cut(kept, "truss")
-        if (left := now.count()) == n:
-            break
-        n = left
-    return now
+    from sparkloom.plans.shared import cut, discard
+
+    if k <= 2:
+        return cut(edges.select("a", "b"), "truss")
+    left = cut(triangles(edges), "triangles")
+    while True:
+        support = cut(edge_degrees(left), "support")
+        short = support.where(F.col("triangles") < k - 2).select("a", "b")
+        if not short.limit(1).count():
+            discard(left)
+            return support.select("a", "b")
+        # a triangle goes with any of its sides
+        kept = left
+        for p, q in ("ab", "ac", "bc"):
+            kept = kept.join(short.select(F.col("a").alias(p), F.col("b").alias(q)), [p, q], "left_anti")
+        now = cut(kept.select("a", "b", "c"), "triangles")
+        discard(left, support)
+        left = now
 
 
 def incidence(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sparkloom.functions.columns import xlogx
 from sparkloom.operators import kronecker, matrix, network, triangles
 from sparkloom.operators.blocks import evaluate, generate, merges, moves, search, state
-from sparkloom.plans.shared import cut
+from sparkloom.plans.shared import cut, new_path
+from sparkloom.sources import readers, writers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +35,11 @@ def co_part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def co_part_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symmetric 0-1 triples."""
-    e = co_part_edges(spark, sf_dir)
+    return symmetric(co_part_edges(spark, sf_dir))
+
+
+def symmetric(e: DataFrame) -> DataFrame:
+    """0-1 triples of edges ``a, b``, both directions."""
     one = F.lit(1).cast("long").alias("v")
     return e.select(F.col("a").alias("i"), F.col("b").alias("j"), one).unionByName(e.select(F.col("b").alias("i"), F.col("a").alias("j"), one))
 
@@ -321,15 +326,11 @@ def arrival_ids(spark, d):
 
 def stream_block_counts(spark, d):
     """The block matrix of the sales fed as a stream of the whole table, all edges so far."""
-    from sparkloom.plans.shared import shared_dir
     from sparkloom.streaming.partition import running_counts
 
     edges = cut(sales(spark, d), "stream")
     folder = edges.inputFiles()[0].rsplit("/", 1)[0]
-    import uuid
-
-    name = f"counts_{uuid.uuid4().hex}"
-    out = f"{shared_dir(spark)}/sparkloom/{name}"
+    out = new_path(spark, "counts")
     stream = spark.readStream.schema(edges.schema).option("maxFilesPerTrigger", 4).parquet(folder)
     writer = running_counts(stream, nations(spark, d)).writeStream.outputMode("complete").option("checkpointLocation", f"{out}-log")
     writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start().awaitTermination()
@@ -337,15 +338,20 @@ def stream_block_counts(spark, d):
 
 
 def sbp_sweep(spark, d):
-    """One sweep over the nations, from pairs of them as blocks."""
-    edges = nation_edges(spark, d)
-    labels = state.identity_labels(edges).select("node", F.expr("node div 2").alias("block"))
-    return moves.sweep(edges, labels, 13, seed=1, turn=0, batches=2).labels
+    """One sweep over all customers and suppliers, from their nations as blocks."""
+    return moves.sweep(cut(sales(spark, d), "edges"), cut(nations(spark, d), "labels"), 25, seed=1, turn=0, batches=2).labels
 
 
 def sbp_partition(spark, d):
-    """Blocks of nations by who buys from whom."""
-    return search.partition(nation_edges(spark, d), seed=1).labels
+    """The distributed search on all sales, resumed from the nations as blocks: it merges and settles until the bracket is done."""
+    edges, labels = cut(sales(spark, d), "edges"), cut(nations(spark, d), "labels")
+    nodes = state.nodes_of(edges)
+    labels, m, blocks = state.dense_blocks(labels.join(nodes, "node", "left_semi"), None)
+    m = cut(state.edge_counts(edges, labels), "matrix")
+    n_edges = float(edges.agg(F.sum("weight")).first()[0])
+    start = search.Bracket()
+    start.put(search.Point(labels, state.overall_entropy(m, blocks, labels.count(), n_edges), blocks, m))
+    return search.partition(edges, seed=1, resume=start, batches=1, most_sweeps=1).labels
 
 
 def sbm_generate(spark, d):
@@ -358,10 +364,126 @@ def rmat_generate(spark, d):
     return kronecker.rmat(spark, 10, 8, seed=1)
 
 
+def triangle_count_incidence(spark, d):
+    e = co_part_edges(spark, d).withColumn("edge", F.concat_ws("-", "a", "b"))
+    return triangles.triangle_count_incidence(symmetric(e), triangles.incidence(e))
+
+
+def edge_corners(spark, d):
+    """Of each edge in a triangle the corners opposite, as one text."""
+    found = triangles.edges_of_wedges(co_part_edges(spark, d))
+    return found.select("a", "b", F.array_join(F.transform("corners", lambda x: x.cast("string")), ",").alias("corners"))
+
+
+# ---- files: written to the shared folder, and read again
+
+
+def file_edges(spark, d):
+    path = new_path(spark, "edges")
+    writers.write_triples(sales(spark, d), path)
+    return readers.read_edges(spark, path)
+
+
+def file_edges_from_one(spark, d):
+    """Ids from 1 in the file, from 0 in the table; the weight is left out and read as 1."""
+    path = new_path(spark, "pairs")
+    writers.write_pairs(sales(spark, d), path)
+    return readers.read_edges(spark, path, start_idx=1)
+
+
+def file_labels(spark, d):
+    path = new_path(spark, "labels")
+    writers.write_pairs(nations(spark, d).select("node", F.when(F.col("block") == 7, -1).otherwise(F.col("block")).alias("block")), path)
+    return readers.read_labels(spark, path)
+
+
+def file_label_lines(spark, d):
+    """Blocks one a line in the order of nodes, read as one stream of lines."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.col("c_nationkey").cast("long").alias("block"))
+    path = new_path(spark, "lines")
+    writers.write_labels(c.coalesce(1), path)
+    return readers.read_label_lines(spark, path)
+
+
+def file_pieces(spark, d):
+    """Sales dealt to three pieces, each a file that the name numbers; the first two are read."""
+    base = new_path(spark, "piece")
+    writers.write_pieces(sales(spark, d).withColumn("piece", (F.col("src") % 3 + 1).cast("int")), base, 3)
+    return readers.read_pieces(spark, base, parts=2)
+
+
+def file_triples(spark, d):
+    path = new_path(spark, "triples")
+    writers.write_triples(nation_matrix(spark, d).toDF("i", "j", "v"), path)
+    return readers.read_triples(spark, path)
+
+
+def file_matrix_market(spark, d):
+    path = new_path(spark, "market")
+    writers.write_matrix_market(nation_matrix(spark, d).select((F.col("r") + 1).alias("i"), (F.col("c") + 1).alias("j"), F.col("m").alias("v")), path, 25, 25, "integer")
+    return readers.read_matrix_market(spark, path, square=True)
+
+
+def file_matrix_market_symmetric(spark, d):
+    """The lower half is written, and read to both halves."""
+    path = new_path(spark, "market")
+    writers.write_matrix_market(symmetrize(spark, d).select((F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"), "v"), path, 25, 25, "real", "symmetric", comment="both ways")
+    return readers.read_matrix_market(spark, path)
+
+
+def file_layers(spark, d):
+    base = new_path(spark, "layers")
+    writers.write_layers(weights(spark, d), base)
+    return readers.read_layers(spark, f"{base}/*.tsv")
+
+
+def file_categories(spark, d):
+    path = new_path(spark, "categories")
+    writers.write_lines(table(spark, d, "supplier").select(F.col("s_nationkey").alias("n")), "n", path)
+    return readers.read_categories(spark, path)
+
+
+def file_distribution(spark, d):
+    path = new_path(spark, "distribution")
+    writers.write_distribution(degree_distribution(spark, d), path)
+    return readers.read_distribution(spark, path)
+
+
+def file_factor(spark, d):
+    """A star in a file from 1, read from 0 with its loop put back."""
+    path = new_path(spark, "factor")
+    writers.write_triples(kronecker.star(spark, 5).select((F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"), "v"), path)
+    return readers.read_factor(spark, path, loop=5)
+
+
+def file_stages(spark, d):
+    """Edges by month of order, a folder a stage, and counted by what the folders say."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.month("o_orderdate").alias("stage"))
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    edges = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst"), "stage")
+    path = new_path(spark, "stages")
+    writers.write_stages(edges, path)
+    return spark.read.option("sep", "\t").schema("src long, dst long, stage int").csv(path).groupBy("stage").agg(F.count("*").alias("edges"), F.sum("src").alias("src"))
+
+
+def run_statistics(spark, d):
+    """Mean and spread of order prices by status and priority, as of repeated runs."""
+    return evaluate.run_statistics(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], "o_totalprice").select("o_orderstatus", "o_orderpriority", "runs", F.round("mean", 3).alias("mean"), F.round("spread", 3).alias("spread"))
+
+
+def round_robin(spark, d):
+    return moves.round_robin(nations(spark, d))
+
+
+def stride_order(spark, d):
+    return moves.stride_order(nations(spark, d).select("node"), 7)
+
+
 QUERIES = {f.__name__: f for f in (
     edge_list, symmetrize, transpose, lower_triangle, upper_triangle, drop_diagonal, binarise, degree, column_sums, degree_distribution, matrix_totals, spgemm, hadamard, sparse_add, matrix_unequal,
     kron_product, kron_generate, kron_degree_distribution, kron_check, decimate, triangle_count, triangle_count_algebra, triangle_count_lower, triangle_enumerate, triangle_vertex_degree, triangle_edge_degree,
     edge_support, k_counts, ktruss_3, ktruss_5, dnn_layer, dnn_infer_3, dnn_categories, block_edge_counts, block_degrees, data_entropy, row_entropy, overall_entropy, merge_delta_entropy, best_merge,
     move_delta_entropy, hastings_ratio, neighbour_blocks, contingency, pair_metrics, information_metrics, matching_accuracy, snowball_depth, snowball_stages, emerging_stages, arrival_ids, stream_block_counts,
-    sbp_sweep, sbp_partition, sbm_generate, rmat_generate,
+    sbp_sweep, sbp_partition, sbm_generate, rmat_generate, triangle_count_incidence, edge_corners, file_edges, file_edges_from_one, file_labels, file_label_lines, file_pieces, file_triples, file_matrix_market,
+    file_matrix_market_symmetric, file_layers, file_categories, file_distribution, file_factor, file_stages, run_statistics, round_robin, stride_order,
 )}

@@ -30,7 +30,7 @@ def read_labels(spark: SparkSession, path: str, start_idx: int = 0) -> DataFrame
 def read_pieces(spark: SparkSession, base: str, parts: int | None = None, start_idx: int = 0) -> DataFrame:
     """``src, dst, weight, piece`` of the files ``<base>_<k>.tsv``, up to piece ``parts``."""
     rows = read_edges(spark, f"{base.removesuffix('.tsv')}_[0-9]*.tsv", start_idx)
-    rows = rows.withColumn("piece", F.regexp_extract(F.input_file_name(), r"_(\d+)\.tsv$", 1).cast("int"))
+    rows = rows.withColumn("piece", F.regexp_extract(F.input_file_name(), r"_(\d+)\.tsv(?:/[^/]*)?$", 1).cast("int"))
     return rows if parts is None else rows.where(F.col("piece") <= parts)
 
 
@@ -56,7 +56,7 @@ def read_categories(spark: SparkSession, path: str) -> DataFrame:
 def read_layers(spark: SparkSession, pattern: str) -> DataFrame:
     """``layer, i, j, w`` of files whose names end in the layer's number, as ``...-l<k>.tsv``."""
     rows = spark.read.schema("i long, j long, w double").option("sep", "\t").csv(pattern)
-    return rows.select(F.regexp_extract(F.input_file_name(), r"(\d+)\.tsv$", 1).cast("int").alias("layer"), "i", "j", "w")
+    return rows.select(F.regexp_extract(F.input_file_name(), r"(\d+)\.tsv(?:/[^/]*)?$", 1).cast("int").alias("layer"), "i", "j", "w")
 
 
 def read_distribution(spark: SparkSession, path: str) -> DataFrame:

@@ -13,9 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators.blocks.evaluate import evaluate
 from sparkloom.operators.blocks.moves import settle
 from sparkloom.operators.blocks.search import Bracket, Point, Result, partition
-from sparkloom.operators.blocks.state import edge_counts, nodes_of, overall_entropy
+from sparkloom.operators.blocks.state import dense_blocks, edge_counts, fold_edges, model_entropy, nodes_of, overall_entropy
+from sparkloom.operators.matrix import dense_ids
 from sparkloom.plans.shared import cut
 
 EDGES = "src long, dst long, weight long"
@@ -52,17 +54,23 @@ class State:
     bracket: Bracket
 
 
-def with_new_nodes(point: Point, edges: DataFrame, n_edges: float, batches: int, seed: int) -> Point:
-    """``point`` on a grown graph: new nodes are blocks of their own, and all nodes settle."""
-    nodes = nodes_of(edges)
-    labels = cut(nodes.join(point.labels, "node", "left").select("node", F.coalesce("block", "node").alias("block")), "labels")
-    blocks = labels.select("block").distinct().count()
-    labels, entropy, _ = settle(edges, labels, blocks, labels.count(), n_edges, 5e-4, seed, batches, most=10)
-    return Point(labels, entropy, labels.select("block").distinct().count())
+def with_new_nodes(point: Point, edges: DataFrame, piece: DataFrame, nodes: DataFrame, n_edges: float, batches: int, seed: int, most_sweeps: int = 100) -> Point:
+    """``point`` on a graph that ``piece`` has grown: new nodes are blocks of their own, and all nodes settle.
+
+    The piece's edges are folded into the point's matrix; ``edges`` are all so far, ``nodes`` their nodes.
+    """
+    fresh = dense_ids(nodes.join(point.labels, "node", "left_anti").select("node", F.col("node").alias("by")), ["by"], "node")
+    labels = cut(point.labels.unionByName(fresh.select("node", (F.col("place") + point.blocks).alias("block"))), "labels")
+    m = cut(fold_edges(point.m, piece, labels), "matrix")
+    n = labels.count()
+    blocks = point.blocks + n - point.labels.count()
+    done = settle(edges, labels, blocks, n, n_edges, 5e-4, seed, batches, most_sweeps, m=m)
+    labels, m, left = dense_blocks(done.labels, done.m)
+    return Point(labels, done.entropy - model_entropy(blocks, n, n_edges) + model_entropy(left, n, n_edges), left, m)
 
 
 def add_piece(state: State | None, piece: DataFrame, finish: bool = True, seed: int = 1, batches: int = 4, **options) -> tuple[State, Result]:
-    """Fold a piece's edges in, let all three points of the bracket settle, and go on with the search.
+    """Fold a piece's edges in, let all points of the bracket settle, and go on with the search.
 
     The state returned stops at the bracket; the result is of the search carried to its end, or of the state itself if
     ``finish`` is false. DataFrames do not change, so nothing has to be copied for that.
@@ -70,31 +78,43 @@ def add_piece(state: State | None, piece: DataFrame, finish: bool = True, seed:
     if state is None:
         edges = cut(piece, "edges")
         found = partition(edges, seed=seed, batches=batches, stop_at_bracket=True, **options)
-        state = State(edges, found.bracket)
     else:
+        piece = cut(piece.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "piece")
         edges = cut(state.edges.unionByName(piece).groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "edges")
         n_edges = float(edges.agg(F.sum("weight")).first()[0])
-        points = [with_new_nodes(p, edges, n_edges, batches, seed) if p.labels is not None else p for p in state.bracket.points]
+        nodes = cut(nodes_of(edges), "nodes")
         bracket = Bracket()
-        for p in sorted((p for p in points if p.labels is not None), key=lambda p: -p.blocks):
-            bracket.put(p)
+        for p in state.bracket.points:
+            bracket.put(with_new_nodes(p, edges, piece, nodes, n_edges, batches, seed, options.get("most_sweeps", 100)))
         found = partition(edges, seed=seed, batches=batches, resume=bracket, stop_at_bracket=True, **options)
-        state = State(edges, found.bracket)
+    state = State(edges, found.bracket)
     if not finish:
         return state, found
-    copy = Bracket(list(state.bracket.points))
-    return state, partition(edges, seed=seed, batches=batches, resume=copy, **options)
+    return state, partition(edges, seed=seed, batches=batches, resume=Bracket(dict(found.bracket.tried)), **options)
+
 
+def incremental(pieces: list[DataFrame], on_piece: Callable[[int, Result], None], halving: bool = False, **options) -> State:
+    """The pieces in their order, each folded into what the ones before left.
 
-def incremental(pieces: list[DataFrame], on_piece: Callable[[int, Result], None], **options) -> State:
-    """The pieces in their order, each folded into what the ones before left."""
-    state = None
+    halving: the search of a piece stops at a least number of blocks, half the nodes for the first and half of that before
+    for each next, so early pieces, which say little, are not merged far.
+    """
+    state, least = None, 0
     for number, piece in enumerate(pieces, 1):
+        if halving:
+            least = nodes_of(piece).count() // 2 if state is None else least // 2
+            options["min_blocks"] = least
         state, found = add_piece(state, piece, **options)
         on_piece(number, found)
     return state
 
 
+def evaluate_observed(truth: DataFrame, found: DataFrame) -> dict[str, float]:
+    """How well ``found`` agrees with ``truth`` on the nodes seen so far; the others are left out, and counted."""
+    seen = truth.join(found.select("node"), "node", "left_semi")
+    return evaluate(seen, found) | {"unseen": float(truth.join(found.select("node"), "node", "left_anti").count())}
+
+
 def entropy_of(edges: DataFrame, labels: DataFrame) -> float:
     n = labels.select("block").distinct().count()
     return overall_entropy(edge_counts(edges, labels), n, labels.count(), float(edges.agg(F.sum("weight")).first()[0]))
