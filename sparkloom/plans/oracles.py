@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-CO_PARTS = """items AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
-co AS (SELECT x.p AS a, y.p AS b, count(*) AS w FROM items x JOIN items y ON x.o = y.o AND x.p < y.p GROUP BY x.p, y.p)"""
+CO_PARTS = """items AS MATERIALIZED (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+co AS MATERIALIZED (SELECT x.p AS a, y.p AS b, count(*) AS w FROM items x JOIN items y ON x.o = y.o AND x.p < y.p GROUP BY x.p, y.p)"""
 SYMMETRIC = f"{CO_PARTS}, adj AS (SELECT a AS i, b AS j, CAST(1 AS BIGINT) AS v FROM co UNION ALL SELECT b, a, CAST(1 AS BIGINT) FROM co)"
-TRIANGLES = f"{CO_PARTS}, tri AS (SELECT x.a AS a, x.b AS b, y.b AS c FROM co x JOIN co y ON x.b = y.a JOIN co z ON z.a = x.a AND z.b = y.b)"
+TRIANGLES = f"{CO_PARTS}, wedges AS MATERIALIZED (SELECT x.a AS a, x.b AS b, y.b AS c FROM co x JOIN co y ON x.a = y.a AND x.b < y.b), tri AS MATERIALIZED (SELECT w.a, w.b, w.c FROM wedges w JOIN co z ON z.a = w.b AND z.b = w.c)"
 SALES = """sales AS (SELECT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst, CAST(count(*) AS BIGINT) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
 nodes AS (SELECT c_custkey * 2 AS node, CAST(c_nationkey AS BIGINT) AS block FROM customer UNION ALL SELECT s_suppkey * 2 + 1, CAST(s_nationkey AS BIGINT) FROM supplier)"""
 MATRIX = f"{SALES}, m AS (SELECT x.block AS r, y.block AS c, CAST(sum(weight) AS BIGINT) AS m FROM sales JOIN nodes x ON x.node = src JOIN nodes y ON y.node = dst GROUP BY 1, 2)"
@@ -63,6 +63,21 @@ def stars(sizes: list[int], kind: int, loop: int) -> str:
     return f"kr AS (SELECT i, j, CAST(1 AS BIGINT) AS v FROM {product} WHERE NOT (i = {loop} AND j = {loop}))"
 
 
+def truss(k: int, rounds: int) -> str:
+    """The k-truss, if it takes no more rounds than given: triangles go with any side that is in too few of what is left."""
+    steps = [f"{TRIANGLES}, t0 AS MATERIALIZED (SELECT a, b, c FROM tri)"]
+    for r in range(rounds):
+        sides = f"SELECT a, b FROM t{r} UNION ALL SELECT a, c FROM t{r} UNION ALL SELECT b, c FROM t{r}"
+        steps.append(f"e{r} AS MATERIALIZED (SELECT a, b FROM ({sides}) GROUP BY a, b HAVING count(*) >= {k - 2})")
+        steps.append(f"t{r + 1} AS MATERIALIZED (SELECT t.* FROM t{r} t JOIN e{r} x ON x.a = t.a AND x.b = t.b JOIN e{r} y ON y.a = t.a AND y.b = t.c JOIN e{r} z ON z.a = t.b AND z.b = t.c)")
+    return f"WITH {', '.join(steps)} SELECT a, b FROM e{rounds - 1}"
+
+
+#: Degrees of a star with a loop at a leaf, and how many vertices have each.
+LOOPED = "(SELECT CAST(unnest([{0}, 2, 1]) AS BIGINT) AS d, CAST(unnest([1, 1, {0} - 1]) AS BIGINT) AS n)"
+BFS = """top AS (SELECT i FROM adj GROUP BY i ORDER BY count(*) DESC, i LIMIT 1),
+bfs(node, depth) USING KEY (node) AS (SELECT i, 0 FROM top UNION SELECT a.j, min(b.depth) + 1 FROM bfs b JOIN adj a ON a.i = b.node WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs r WHERE r.node = a.j) GROUP BY a.j)"""
+
 ORACLE_SQL = {
     "edge_list": f"WITH {SALES} SELECT * FROM sales",
     "symmetrize": f"WITH {MATRIX} SELECT i, j, CAST(sum(v) AS BIGINT) AS v FROM (SELECT r AS i, c AS j, m AS v FROM m UNION ALL SELECT c, r, m FROM m) GROUP BY i, j HAVING sum(v) <> 0",
@@ -127,9 +142,38 @@ SELECT round(rand, 6) AS rand, round(ari, 6) AS adjusted_rand, round(r, 6) AS pa
     "information_metrics": f"""WITH {CONTINGENCY}, s AS (SELECT (SELECT sum(n) FROM cont) AS n, (SELECT sum(n * ln(n)) FROM cont) AS c, (SELECT sum(n * ln(n)) FROM ra) AS a, (SELECT sum(n * ln(n)) FROM rb) AS b),
 h AS (SELECT ln(n) - a / n AS ha, ln(n) - b / n AS hb, ln(n) - c / n AS hc FROM s)
 SELECT round(ha, 6) AS h_truth, round(hb, 6) AS h_found, round(hc - hb, 6) AS h_truth_given_found, round(hc - ha, 6) AS h_found_given_truth, round(ha + hb - hc, 6) AS mutual, round((hc - hb) / ha, 6) AS missed, round((hc - ha) / hb, 6) AS wrong FROM h""",
-    "snowball_depth": f"""WITH RECURSIVE {SYMMETRIC}, top AS (SELECT i FROM adj GROUP BY i ORDER BY count(*) DESC, i LIMIT 1),
-bfs(node, depth) USING KEY (node) AS (SELECT i, 0 FROM top UNION SELECT a.j, min(b.depth) + 1 FROM bfs b JOIN adj a ON a.i = b.node WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs r WHERE r.node = a.j) GROUP BY a.j)
-SELECT node, CAST(depth AS INTEGER) AS depth FROM bfs""",
+    "snowball_depth": f"WITH RECURSIVE {SYMMETRIC}, {BFS} SELECT node, CAST(depth AS INTEGER) AS depth FROM bfs",
+    "snowball_stages": f"""WITH RECURSIVE {SYMMETRIC}, {BFS}, staged AS (SELECT node, CAST(floor((row_number() OVER (ORDER BY depth, node) - 1) * 4.0 / count(*) OVER ()) + 1 AS INTEGER) AS at FROM bfs)
+SELECT co.a AS src, co.b AS dst, greatest(coalesce(x.at, 4), coalesce(y.at, 4)) AS stage FROM co LEFT JOIN staged x ON x.node = co.a LEFT JOIN staged y ON y.node = co.b""",
+    "ktruss_5": truss(5, 6),
+    "kron_check": f"""WITH {stars([3, 4, 5], 2, 119)}, und AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM kr WHERE i <> j),
+tri AS (SELECT x.a, x.b, y.b AS c FROM und x JOIN und y ON x.a = y.a AND x.b < y.b JOIN und z ON z.a = x.b AND z.b = y.b),
+deg AS (SELECT d, count(*) AS n FROM (SELECT i, count(*) AS d FROM kr GROUP BY i) GROUP BY d),
+theory AS (SELECT d, sum(n) AS n FROM (SELECT x.d * y.d * z.d AS d, x.n * y.n * z.n AS n FROM {LOOPED.format(3)} x, {LOOPED.format(4)} y, {LOOPED.format(5)} z UNION ALL SELECT 8, -1 UNION ALL SELECT 7, 1) GROUP BY d HAVING sum(n) <> 0),
+predicted AS (SELECT 'vertices' AS property, (3 + 1) * (4 + 1) * (5 + 1) AS n UNION ALL SELECT 'entries', 7 * 9 * 11 - 1 UNION ALL SELECT 'triangles', (64 - 3 * 8 + 2) // 6 UNION ALL SELECT 'truss_3_edges', (27 - 3) // 2 UNION ALL SELECT 'degree ' || d, n FROM theory),
+measured AS (SELECT 'vertices' AS property, count(DISTINCT i) AS n FROM kr UNION ALL SELECT 'entries', count(*) FROM kr UNION ALL SELECT 'triangles', count(*) FROM tri UNION ALL SELECT 'truss_3_edges', count(*) FROM (SELECT a, b FROM tri UNION SELECT a, c FROM tri UNION SELECT b, c FROM tri) UNION ALL SELECT 'degree ' || d, n FROM deg)
+SELECT property, CAST(p.n AS DECIMAL(38, 0)) AS predicted, CAST(m.n AS DECIMAL(38, 0)) AS measured FROM predicted p FULL JOIN measured m USING (property)""",
+    "matching_accuracy": f"""WITH {CONTINGENCY}, s AS (SELECT truth, found, n, dense_rank() OVER (ORDER BY found) AS k FROM cont)
+SELECT max(a.n + b.n + c.n + d.n + e.n) / (SELECT sum(n) FROM cont) AS accuracy FROM s a JOIN s b ON b.truth <> a.truth JOIN s c ON c.truth NOT IN (a.truth, b.truth) JOIN s d ON d.truth NOT IN (a.truth, b.truth, c.truth)
+JOIN s e ON e.truth NOT IN (a.truth, b.truth, c.truth, d.truth) WHERE a.k = 1 AND b.k = 2 AND c.k = 3 AND d.k = 4 AND e.k = 5""",
+    "triangle_count_incidence": f"WITH {TRIANGLES} SELECT count(*) AS triangles FROM tri",
+    "edge_corners": f"WITH {TRIANGLES} SELECT a, b, string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) AS corners FROM (SELECT a, b, c AS x FROM tri UNION ALL SELECT a, c, b FROM tri UNION ALL SELECT b, c, a FROM tri) GROUP BY a, b",
+    "file_edges": f"WITH {SALES} SELECT * FROM sales",
+    "file_edges_from_one": f"WITH {SALES} SELECT src - 1 AS src, dst - 1 AS dst, CAST(1 AS BIGINT) AS weight FROM sales",
+    "file_labels": f"WITH {SALES} SELECT node, nullif(block, 7) AS block FROM nodes",
+    "file_label_lines": "SELECT row_number() OVER (ORDER BY c_custkey) AS node, CAST(c_nationkey AS BIGINT) AS block FROM customer",
+    "file_pieces": f"WITH {SALES} SELECT src, dst, weight, CAST(src % 3 + 1 AS INTEGER) AS piece FROM sales WHERE src % 3 < 2",
+    "file_triples": f"WITH {MATRIX} SELECT r AS i, c AS j, CAST(m AS DOUBLE) AS v FROM m",
+    "file_matrix_market": f"WITH {MATRIX} SELECT r + 1 AS i, c + 1 AS j, CAST(m AS DOUBLE) AS v FROM m",
+    "file_matrix_market_symmetric": f"WITH {MATRIX} SELECT i + 1 AS i, j + 1 AS j, CAST(sum(v) AS DOUBLE) AS v FROM (SELECT r AS i, c AS j, m AS v FROM m UNION ALL SELECT c, r, m FROM m) GROUP BY i, j HAVING sum(v) <> 0",
+    "file_layers": f"WITH {WEIGHTS} SELECT CAST(layer AS INTEGER) AS layer, i, j, w FROM w",
+    "file_categories": 'SELECT CAST(s_nationkey AS BIGINT) AS "row" FROM supplier',
+    "file_distribution": f"WITH {SYMMETRIC} SELECT CAST(degree AS DECIMAL(38, 0)) AS degree, CAST(count(*) AS DECIMAL(38, 0)) AS n FROM (SELECT i, sum(v) AS degree FROM adj GROUP BY i) GROUP BY degree",
+    "file_factor": f"SELECT i, j, CAST(1 AS BIGINT) AS v FROM {star(5, 2)}",
+    "file_stages": "SELECT CAST(stage AS INTEGER) AS stage, count(*) AS edges, CAST(sum(src) AS BIGINT) AS src FROM (SELECT DISTINCT l_orderkey, l_suppkey, o_custkey AS src, month(o_orderdate) AS stage FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY stage",
+    "run_statistics": "SELECT o_orderstatus, o_orderpriority, count(*) AS runs, round(avg(o_totalprice), 3) AS mean, round(stddev_pop(o_totalprice), 3) AS spread FROM orders GROUP BY 1, 2",
+    "round_robin": f"WITH {SALES} SELECT node, row_number() OVER (ORDER BY turn, block) - 1 AS place FROM (SELECT node, block, row_number() OVER (PARTITION BY block ORDER BY node) AS turn FROM nodes)",
+    "stride_order": f"WITH {SALES} SELECT node, row_number() OVER (ORDER BY place % 7, place) - 1 AS place FROM (SELECT node, row_number() OVER (ORDER BY node) - 1 AS place FROM nodes)",
     "arrival_ids": "SELECT node, row_number() OVER (ORDER BY f, node) AS new FROM (SELECT user_id AS node, min(month(ts)) AS f FROM events GROUP BY user_id)",
     "stream_block_counts": f"WITH {MATRIX} SELECT r, c, m FROM m",
 }
