@@ -133,3 +133,14 @@ def dense_ids(rows: DataFrame, order: list[str], key: str) -> DataFrame:
     offsets = F.broadcast(spark.createDataFrame(starts, "part int, start long"))
     own = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
     return ordered.withColumn("own", own).join(offsets, "part").select(key, (F.col("own") + F.col("start")).alias("place"))
+
+
+def is_sorted(rows: DataFrame, order: list[str]) -> bool:
+    """The rows come in the order of ``order``: inside every partition, and from each to the next.
+
+    Neighbours are compared inside partitions; of each partition only the first and last row go on.
+    """
+    placed = rows.select(F.struct(*order).alias("k"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    before = F.lag("k").over(Window.partitionBy("part").orderBy("at"))
+    ends = placed.withColumn("down", before > F.col("k")).groupBy("part").agg(F.max(F.coalesce("down", F.lit(False))).alias("down"), F.min_by("k", "at").alias("first"), F.max_by("k", "at").alias("last"))
+    return not ends.withColumn("down", F.col("down") | F.coalesce(F.lag("last").over(Window.orderBy("part")) > F.col("first"), F.lit(False))).where("down").limit(1).count()

@@ -1,7 +1,8 @@
 """Triangles of simple undirected graphs, given as edges ``a, b`` with ``a < b``.
 
 Edges are directed from the end of fewer edges to the other, ties by id, so the wedges of a hub stay few: a vertex has at
-most about sqrt(2 E) edges going out. A wedge and its closing edge meet in two equi-joins.
+most about sqrt(2 E) edges going out. What an edge's two ends both direct an edge to closes a triangle, so the lists of the
+ends meet in one equi-join and no wedge is shuffled.
 """
 
 from __future__ import annotations
@@ -23,20 +24,28 @@ def oriented(edges: DataFrame) -> DataFrame:
     return both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"))
 
 
+def shared_ends(edges: DataFrame) -> DataFrame:
+    """``u, v, near, far``: each directed edge with the lists of what its two ends direct edges to.
+
+    A wedge is a pair of places in a list, so an edge stands for all wedges over it in one row of a shuffle.
+    """
+    lists = oriented(edges).groupBy("u").agg(F.collect_list("v").alias("near"))
+    ends = lists.where(F.size("near") > 1).select("u", F.explode("near").alias("v"), "near")
+    return ends.join(lists.select(F.col("u").alias("v"), F.col("near").alias("far")), "v")
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """``a < b < c`` of each triangle, once."""
-    o = oriented(edges)
-    wedges = o.select("u", F.col("v").alias("x")).join(o.select("u", F.col("v").alias("y")), "u").where("x < y")
-    closed = wedges.join(edges.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"])
-    corners = F.array_sort(F.array("u", "x", "y"))
-    return closed.select(corners.alias("t")).select(*[F.element_at("t", i + 1).alias(n) for i, n in enumerate("abc")])
+    closed = shared_ends(edges).select("u", "v", F.explode(F.array_intersect("near", "far")).alias("w"))
+    least, most = F.least("u", "v", "w"), F.greatest("u", "v", "w")
+    middle = F.greatest(F.least("u", "v"), F.least(F.greatest("u", "v"), F.col("w")))
+    return closed.select(least.alias("a"), middle.alias("b"), most.alias("c"))
 
 
 def triangle_count(edges: DataFrame) -> DataFrame:
-    """One row; the triangles are not listed, only closing edges are counted."""
-    o = oriented(edges)
-    wedges = o.select("u", F.col("v").alias("x")).join(o.select("u", F.col("v").alias("y")), "u").where("x < y")
-    return wedges.join(edges.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"]).agg(F.count("*").alias("triangles"))
+    """One row; the triangles are not listed, only what two lists share is counted."""
+    common = F.size(F.array_intersect("near", "far")).cast("long")
+    return shared_ends(edges).agg(F.coalesce(F.sum(common), F.lit(0)).cast("long").alias("triangles"))
 
 
 def masked_wedges(first: DataFrame, second: DataFrame, mask: DataFrame) -> DataFrame:

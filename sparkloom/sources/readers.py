@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,11 +128,15 @@ def read_matrix_market(spark: SparkSession, path: str, square: bool = False) ->
 
 
 def read_binary_edges(spark: SparkSession, path: str) -> DataFrame:
-    """``v0, v1``: pairs of little-endian 64-bit integers; records are read in splits, however large the file."""
-    import struct
-
+    """``v0, v1``: pairs of little-endian 64-bit integers; records are read in splits, however large the file, and turned to
+    numbers many at a time."""
     records = spark.sparkContext.binaryRecords(path, 16)
-    return spark.createDataFrame(records.map(lambda b: struct.unpack("<qq", bytes(b))), "v0 long, v1 long")
+
+    def numbers(split):
+        while chunk := list(itertools.islice(split, 1 << 15)):
+            yield from map(tuple, np.frombuffer(b"".join(map(bytes, chunk)), "<i8").reshape(-1, 2).tolist())
+
+    return spark.createDataFrame(records.mapPartitions(numbers), "v0 long, v1 long", verifySchema=False)
 
 
 def adjacency_of_edges(edges: DataFrame, a: str = "v0", b: str = "v1", both: bool = True) -> DataFrame:
