@@ -5,6 +5,9 @@ holds them all, that is the answer. Beyond, star steps join what the tasks found
 join on the same key, so no vertex's neighbours ever meet in one task's memory, and a hub is a skewed join that adaptive
 execution splits. The links of each round are written to the shared folder, which cuts the lineage and survives lost
 executors. The number of rounds grows with the logarithm of the longest path between the tasks' components.
+
+Cases: repeated links, links both ways and links of an id with itself change nothing; a link with a null end is left out; an
+id without a link to another is not in the result; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -55,3 +55,29 @@ def test_empty_table_goes_through(spark):
     for name, stage in pipeline.STAGES:
         docs = pipeline.materialise(stage(spark, docs, DATA), name)
         assert docs.count() == 0
+
+
+def test_odd_rows_go_through(spark):
+    """Null, empty, very long, tied and repeated rows, and columns whose names the stages use themselves."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = pipeline.quality_stage(spark, docs, DATA).orderBy("doc_id").limit(4).collect()
+    text = kept[0]["text"]
+    long = " ".join(f"{text} {i}" for i in range(2000))
+    ids = [10**9 + i for i in range(4)]
+    rows = [(ids[0], text), (ids[1], text), (ids[0], text), (None, text), (None, None), (ids[2], ""), (ids[2], long), (ids[3], kept[1]["text"]), (ids[3], kept[1]["text"])]
+    odd = spark.createDataFrame([(i, t, "en", None if k % 2 else "web", None) for k, (i, t) in enumerate(rows)], docs.schema)
+    for name in ("mix", "score", "number", "component_id", "statistics", "digest"):
+        odd = odd.withColumn(name, F.lit(1))
+    columns = odd.columns
+    near = pipeline.materialise(pipeline.near_dup_stage(spark, odd, DATA), "odd")
+    left = sorted((str(r["doc_id"]), len(r["text"] or "")) for r in near.collect())
+    assert near.columns == columns
+    assert left == sorted([(str(ids[0]), len(text)), ("None", 0), (str(ids[2]), 0), (str(ids[2]), len(long)), (str(ids[3]), len(kept[1]["text"]))])
+    for name, stage in pipeline.STAGES[2:]:
+        odd = near = pipeline.materialise(stage(spark, near, DATA), name)
+        assert name == "byte_bpe" or near.columns == columns
+    assert near.where("n_tokens > 10000").count() <= 3 and near.where("doc_id is null").count() <= 3
+    scored = pipeline.quality_stage(spark, spark.createDataFrame([(1, None, None, None, None), (None, "", None, None, None)], docs.schema), DATA)
+    assert scored.columns == docs.columns and scored.count() <= 2

@@ -450,6 +450,19 @@ def test_quality(spark):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_quality_of_held_out_rows(spark):
+    """Held-out rows of a larger table: most are told right, and label 1 scores higher than label 0."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = quality.with_score(docs, quality.learn(docs, labels), "score").join(labels, "doc_id").where(quality.held_out(F.col("doc_id"))).select("score", "quality").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == k] for k in (1, 0))
+    assert len(good) > 50 and len(bad) > 15
+    assert np.mean([(r["score"] >= 0.7) == (r["quality"] == 1) for r in rows]) >= 0.9
+    assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) >= 0.97
+    model = quality.learn(docs, labels, sample=50)  # the bound is kept, and less is learnt
+    assert len(model.rules) < 60
+
+
 def test_quality_corner_cases(docs, spark):
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 1), (2, 1)], "doc_id long, quality int")
     only = quality.with_score(docs, quality.learn(docs, labels), "score").select("score").collect()
