@@ -1,7 +1,12 @@
 """From raw documents to token ids: filter, deduplicate, redact, mix, encode.
 
 Each stage gets all that the one before kept, is written as Parquet to the shared folder and read again, so a lost executor
-costs a stage at most. Every stage but the last returns the columns of ``documents``; an empty table goes through all.
+costs a stage at most. Every stage but the last returns the columns of ``documents``.
+
+Cases: an empty table goes through all stages. A null text is the empty text to the classifier, has no near-duplicates, holds
+no secrets, has size 0 in the mix, so it is taken at its source's rate like any other, and no ids. Rows with a null or
+repeated ``doc_id`` are documents each until near-duplicates go, of which one of each group stays; of ties the smallest id
+does. Very long texts go through whole. Other columns pass through every stage but the last, whatever their names.
 """
 
 from __future__ import annotations
