@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TRIPLES = "i long, j long, v double"
@@ -74,10 +74,18 @@ def read_factor(spark: SparkSession, path: str, loop: int | None = None) -> Data
     return rows
 
 
+def _numbered_lines(spark: SparkSession, path: str, skip: str | None = None) -> DataFrame:
+    """``pos, value``: the lines of a text file numbered from 0, without blank ones and those that begin with ``skip``.
+
+    A line's number needs the counts of all splits before its own, which an RDD gives in the order of the file.
+    """
+    lines = spark.sparkContext.textFile(path).map(str.strip).filter(lambda x: x and not (skip and x.startswith(skip)))
+    return spark.createDataFrame(lines.zipWithIndex().map(lambda x: (x[1], x[0])), "pos long, value string", verifySchema=False)
+
+
 def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
     """``node, block`` of a file of one block a line; the nodes are the lines from 1."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")))
-    return rows.select((F.col("pos") + 1).cast("long").alias("node"), F.trim("col").cast("long").alias("block"))
+    return _numbered_lines(spark, path).select((F.col("pos") + 1).alias("node"), F.col("value").cast("long").alias("block"))
 
 
 def matrix_market_header(spark: SparkSession, path: str) -> tuple[str, str, str, list[int]]:
@@ -88,10 +96,12 @@ def matrix_market_header(spark: SparkSession, path: str) -> tuple[str, str, str,
     if len(words) != 5 or words[0] != "%%matrixmarket" or words[1] != "matrix":
         raise ValueError("not a Matrix Market file: no banner")
     layout, field, symmetry = words[2:]
-    if layout not in ("coordinate", "array") or field not in ("real", "integer", "pattern") or symmetry not in ("general", "symmetric", "skew-symmetric"):
+    if layout not in ("coordinate", "array") or field not in ("real", "integer", "pattern", "complex") or symmetry not in ("general", "symmetric", "skew-symmetric", "hermitian"):
         raise ValueError(f"a Matrix Market kind that is not read: {' '.join(words[2:])}")
-    if layout == "array" and field == "pattern":
-        raise ValueError("an array has values")
+    if field == "pattern" and (layout == "array" or symmetry == "skew-symmetric"):
+        raise ValueError("an array has values, and so has what changes its sign")
+    if symmetry == "hermitian" and field != "complex":
+        raise ValueError("only complex matrices are Hermitian")
     size = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).first()
     if size is None:
         raise ValueError("no size line")
@@ -99,34 +109,57 @@ def matrix_market_header(spark: SparkSession, path: str) -> tuple[str, str, str,
 
 
 def read_matrix_market(spark: SparkSession, path: str, square: bool = False) -> DataFrame:
-    """``i, j, v``, 1-based; the half that a symmetric file leaves out is filled in, a pattern's entries are 1."""
+    """``i, j, v``, 1-based; the half that a symmetric file leaves out is filled in, a pattern's entries are 1.
+
+    The values of a complex matrix are structs ``re, im``; the other half of a Hermitian one is conjugate.
+    """
     layout, field, symmetry, size = matrix_market_header(spark, path)
     if square and size[0] != size[1]:
         raise ValueError(f"not square: {size[0]} by {size[1]}")
-    body = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
     words = F.split(F.trim("value"), r"\s+")
+
+    def value(first: int) -> Column:
+        part = lambda k: F.col("w")[first + k].cast("double")
+        return F.lit(1.0) if field == "pattern" else F.struct(part(0).alias("re"), part(1).alias("im")) if field == "complex" else part(0)
+
     if layout == "array":
-        whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: (F.trim(x) != "") & ~x.startswith("%"))))
-        at = F.col("pos") - 1
-        rows = whole.where("pos > 0").select((at % size[0] + 1).cast("long").alias("i"), (F.floor(at / size[0]) + 1).cast("long").alias("j"), F.trim("col").cast("double").alias("v")).where("v <> 0")
+        entries = _numbered_lines(spark, path, "%").where("pos > 0").select(F.col("pos") - 1, words.alias("w")).toDF("at", "w")
+        place = (F.col("at") % size[0] + 1).cast("long"), F.expr(f"at div {size[0]} + 1").cast("long")
+        if symmetry != "general":  # the lower half by columns, without the diagonal where signs change
+            place = _lower_place(F.col("at"), size[0], symmetry == "skew-symmetric")
+        zero = F.col("v.re").eqNullSafe(0.0) & F.col("v.im").eqNullSafe(0.0) if field == "complex" else F.col("v") == 0
+        rows = entries.select(place[0].alias("i"), place[1].alias("j"), value(0).alias("v")).where(~zero)
     else:
-        entries = body.select(words.alias("w"))
-        value = F.lit(1.0) if field == "pattern" else F.col("w")[2].cast("double")
-        rows = entries.select(F.col("w")[0].cast("long").alias("i"), F.col("w")[1].cast("long").alias("j"), value.alias("v"), F.size("w").alias("k"))
-        # the size line has three numbers as an entry has; it is told by its own
-        first = (F.col("i") == size[0]) & (F.col("j") == size[1]) & (F.col("v") == float(size[2])) if field != "pattern" else F.col("k") == 3
+        body = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+        rows = body.select(words.alias("w")).select(F.col("w")[0].cast("long").alias("i"), F.col("w")[1].cast("long").alias("j"), value(2).alias("v"), F.size("w").alias("k"))
+        # the size line has three numbers, as an entry may have; it is told by its own
+        least = {"pattern": 2, "complex": 4}.get(field, 3)
+        first = F.col("k") == 3 if least != 3 else (F.col("i") == size[0]) & (F.col("j") == size[1]) & (F.col("v") == float(size[2]))
         headed = rows.where(first).count()
-        if headed > 1:  # an entry that looks like the size line
-            rows = rows.where(~first).unionByName(rows.where(first).limit(headed - 1))
-        else:
-            rows = rows.where(~first)
-        rows = rows.drop("k")
+        again = rows.where(first).limit(headed - 1) if headed > 1 else None  # entries that look like the size line
+        rows = rows.where(~first)
+        rows = (rows if again is None else rows.unionByName(again)).drop("k")
     if symmetry != "general":
-        sign = -1.0 if symmetry == "skew-symmetric" else 1.0
-        rows = rows.unionByName(rows.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("v") * sign).alias("v")))
+        v = F.col("v")
+        if field == "complex":
+            re, im = {"symmetric": (1, 1), "skew-symmetric": (-1, -1), "hermitian": (1, -1)}[symmetry]
+            v = F.struct((F.col("v.re") * re).alias("re"), (F.col("v.im") * im).alias("im"))
+        elif symmetry == "skew-symmetric":
+            v = -v
+        rows = rows.unionByName(rows.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), v.alias("v")))
     return rows
 
 
+def _lower_place(at: Column, n: int, strict: bool) -> tuple[Column, Column]:
+    """Row and column, from 1, of the ``at``-th entry of a lower triangle by columns."""
+    m = n - 1 if strict else n  # entries in the first column
+    behind = F.lit(m * (m + 1) // 2 - 1) - at  # entries after this one
+    back = F.floor((F.sqrt(8.0 * behind + 1) - 1) / 2).cast("long")  # columns after its own
+    column = m - back
+    row = n - (behind - (back * (back + 1) / 2).cast("long"))
+    return row.cast("long"), column.cast("long")
+
+
 def read_binary_edges(spark: SparkSession, path: str) -> DataFrame:
     """``v0, v1``: pairs of little-endian 64-bit integers; records are read in splits, however large the file, and turned to
     numbers many at a time."""

@@ -34,7 +34,7 @@ def test_matrix_market_corner_cases(spark, tmp_path):
     assert {tuple(r) for r in readers.read_matrix_market(spark, str(tmp_path / "a.mtx")).collect()} == {(1, 1, 2.0), (3, 3, 3.0), (2, 1, 1.0)}
     (tmp_path / "b.mtx").write_text("%%MatrixMarket matrix array real general\n2 2\n1\n2\n0\n4\n")
     assert {tuple(r) for r in readers.read_matrix_market(spark, str(tmp_path / "b.mtx")).collect()} == {(1, 1, 1.0), (2, 1, 2.0), (2, 2, 4.0)}
-    (tmp_path / "c.mtx").write_text("%%MatrixMarket matrix coordinate complex general\n1 1 1\n1 1 1 1\n")
+    (tmp_path / "c.mtx").write_text("%%MatrixMarket matrix coordinate quaternion general\n1 1 1\n1 1 1 1\n")
     with pytest.raises(ValueError):
         readers.read_matrix_market(spark, str(tmp_path / "c.mtx"))
     (tmp_path / "d.mtx").write_text("%%MatrixMarket matrix coordinate real general\n2 3 1\n1 1 1\n")
@@ -42,6 +42,25 @@ def test_matrix_market_corner_cases(spark, tmp_path):
         readers.read_matrix_market(spark, str(tmp_path / "d.mtx"), square=True)
 
 
+def test_matrix_market_complex_and_halves(spark, tmp_path):
+    def read(text):
+        (tmp_path / "m.mtx").write_text("%%MatrixMarket matrix " + text)
+        return {(r["i"], r["j"]): tuple(r["v"]) if isinstance(r["v"], tuple) else r["v"] for r in readers.read_matrix_market(spark, str(tmp_path / "m.mtx")).collect()}
+
+    assert read("coordinate complex hermitian\n2 2 2\n1 1 3 0\n2 1 1 4\n") == {(1, 1): (3.0, 0.0), (2, 1): (1.0, 4.0), (1, 2): (1.0, -4.0)}
+    assert read("coordinate complex skew-symmetric\n2 2 1\n2 1 1 4\n") == {(2, 1): (1.0, 4.0), (1, 2): (-1.0, -4.0)}
+    assert read("coordinate real skew-symmetric\n3 3 1\n3 1 2.5\n") == {(3, 1): 2.5, (1, 3): -2.5}
+    assert read("array complex general\n2 1\n1 2\n0 0\n") == {(1, 1): (1.0, 2.0)}
+    whole = {(i, j): float(10 * max(i, j) + min(i, j)) for i in range(1, 5) for j in range(1, 5)}
+    lower = [f"{10 * i + j}" for j in range(1, 5) for i in range(j, 5)]
+    assert read("array real symmetric\n% by columns\n4 4\n" + "\n".join(lower) + "\n") == whole
+    strict = [f"{10 * i + j}" for j in range(1, 5) for i in range(j + 1, 5)]
+    assert read("array real skew-symmetric\n4 4\n" + "\n".join(strict) + "\n") == {k: v if k[0] > k[1] else -v for k, v in whole.items() if k[0] != k[1]}
+    for text in ("array pattern general\n1 1\n1\n", "coordinate real hermitian\n1 1 1\n1 1 1\n"):
+        with pytest.raises(ValueError):
+            read(text)
+
+
 def test_binary_edges(spark, tmp_path):
     (tmp_path / "e.bin").write_bytes(b"".join(struct.pack("<qq", *p) for p in ((0, 1), (1, 0), (2, 5_000_000_000))))
     rows = readers.read_binary_edges(spark, str(tmp_path / "e.bin"))
