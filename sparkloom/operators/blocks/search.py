@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators.blocks.local import partition_local
 from sparkloom.operators.blocks.merges import adjacent_pairs, best_merges, delta_entropy, merged_names, sampled_pairs
-from sparkloom.operators.blocks.moves import ends_of, settle
+from sparkloom.operators.blocks.moves import Settled, ends_of, settle
 from sparkloom.operators.blocks.state import dense_blocks, edge_counts, identity_labels, model_entropy, overall_entropy, renamed
 from sparkloom.plans.shared import cut
 
@@ -115,9 +115,16 @@ def step(edges: DataFrame, start: Point, merges: int, nodes: int, n_edges: float
     every = start.labels.select("block").distinct().join(merged, "block", "left").select("block", F.coalesce("new", "block").alias("new"))
     labels, m, blocks = dense_blocks(labels, renamed(start.m, every))
     done = settle(edges, labels, blocks, nodes, n_edges, threshold, seed, batches, most_sweeps, least_moves=least_moves, form=form, m=m, ends=ends)
-    labels, m, left = dense_blocks(done.labels, done.m)
-    entropy = done.entropy - model_entropy(blocks, nodes, n_edges, form) + model_entropy(left, nodes, n_edges, form)
-    return Point(labels, entropy, left, m)
+    return settled_point(done, blocks, nodes, n_edges, form)
+
+
+def settled_point(done: Settled, blocks: int, nodes: int, n_edges: float, form: str = "documented") -> Point:
+    """What ``settle`` left of ``blocks`` blocks; where some are empty now, the others are numbered anew."""
+    left = done.labels.select("block").distinct().count()
+    labels, m = done.labels, done.m
+    if left < blocks:
+        labels, m, left = dense_blocks(labels, m)
+    return Point(labels, done.entropy - model_entropy(blocks, nodes, n_edges, form) + model_entropy(left, nodes, n_edges, form), left, m)
 
 
 def partition(edges: DataFrame, truth: DataFrame | None = None, *, seed: int = 1, rate: float = 0.5, first_rate: float | None = None, batches: int = 4, proposals: int | None = None, min_blocks: int = 0, stop_at_bracket: bool = False, resume: Bracket | None = None, most_sweeps: int = 100, least_moves: float = 0.0, least_slope: float = 0.0, form: str = "documented", n_edges: float | None = None, local: bool = False) -> Result:

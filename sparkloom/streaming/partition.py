@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators.blocks.evaluate import evaluate
 from sparkloom.operators.blocks.moves import settle
-from sparkloom.operators.blocks.search import Bracket, Point, Result, partition
-from sparkloom.operators.blocks.state import dense_blocks, edge_counts, fold_edges, model_entropy, nodes_of, overall_entropy
+from sparkloom.operators.blocks.search import Bracket, Point, Result, partition, settled_point
+from sparkloom.operators.blocks.state import edge_counts, fold_edges, nodes_of, overall_entropy
 from sparkloom.operators.matrix import dense_ids
 from sparkloom.plans.shared import cut
 
@@ -65,12 +65,11 @@ def with_new_nodes(point: Point, edges: DataFrame, piece: DataFrame, nodes: Data
     n = labels.count()
     blocks = point.blocks + n - point.labels.count()
     done = settle(edges, labels, blocks, n, n_edges, 5e-4, seed, batches, most_sweeps, m=m)
-    labels, m, left = dense_blocks(done.labels, done.m)
-    return Point(labels, done.entropy - model_entropy(blocks, n, n_edges) + model_entropy(left, n, n_edges), left, m)
+    return settled_point(done, blocks, n, n_edges)
 
 
 def add_piece(state: State | None, piece: DataFrame, finish: bool = True, seed: int = 1, batches: int = 4, **options) -> tuple[State, Result]:
-    """Fold a piece's edges in, let all points of the bracket settle, and go on with the search.
+    """Fold a piece's edges in, let the points of the bracket settle, and go on with the search.
 
     The state returned stops at the bracket; the result is of the search carried to its end, or of the state itself if
     ``finish`` is false. DataFrames do not change, so nothing has to be copied for that.
@@ -83,8 +82,10 @@ def add_piece(state: State | None, piece: DataFrame, finish: bool = True, seed:
         edges = cut(state.edges.unionByName(piece).groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "edges")
         n_edges = float(edges.agg(F.sum("weight")).first()[0])
         nodes = cut(nodes_of(edges), "nodes")
-        bracket = Bracket()
-        for p in state.bracket.points:
+        bracket, best = Bracket(), state.bracket.best
+        more_nodes = nodes.count() > best.labels.count()
+        # new nodes are blocks of their own until they merge, so a point below the best bounds the search no more
+        for p in (p for p in state.bracket.points if not more_nodes or p.blocks >= best.blocks):
             bracket.put(with_new_nodes(p, edges, piece, nodes, n_edges, batches, seed, options.get("most_sweeps", 100)))
         found = partition(edges, seed=seed, batches=batches, resume=bracket, stop_at_bracket=True, **options)
     state = State(edges, found.bracket)
