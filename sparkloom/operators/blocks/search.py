@@ -107,13 +107,20 @@ def as_dense(edges: DataFrame, point: Point) -> Point:
 
 
 def step(edges: DataFrame, start: Point, merges: int, nodes: int, n_edges: float, threshold: float, seed: int, batches: int = 4, proposals: int | None = None, most_sweeps: int = 100, least_moves: float = 0.0, form: str = "documented", ends: DataFrame | None = None) -> Point:
-    """Merge away blocks of ``start``, then let the nodes settle. The matrix follows merges and moves, and is not counted anew."""
+    """Merge away blocks of ``start``, then let the nodes settle. The matrix follows merges and moves, and is not counted anew.
+
+    Each block offers its best merge, of which twins are one; where that is less than is to go, the merged blocks offer again.
+    """
     start = as_dense(edges, start)
-    pairs = adjacent_pairs(start.m) if proposals is None else sampled_pairs(start.m, proposals, seed, start.blocks)
-    merged = cut(merged_names(best_merges(delta_entropy(start.m, pairs)), merges), "merged")
-    labels = start.labels.join(merged, "block", "left").select("node", F.coalesce("new", "block").alias("block"))
-    every = start.labels.select("block").distinct().join(merged, "block", "left").select("block", F.coalesce("new", "block").alias("new"))
-    labels, m, blocks = dense_blocks(labels, renamed(start.m, every))
+    labels, m, blocks, target = start.labels, start.m, start.blocks, start.blocks - merges
+    while True:
+        pairs = adjacent_pairs(m) if proposals is None else sampled_pairs(m, proposals, seed, blocks)
+        merged = cut(merged_names(best_merges(delta_entropy(m, pairs)), blocks - target), "merged")
+        every = labels.select("block").distinct().join(merged, "block", "left").select("block", F.coalesce("new", "block").alias("new"))
+        m, before = renamed(m, every), blocks
+        labels, m, blocks = dense_blocks(labels.join(merged, "block", "left").select("node", F.coalesce("new", "block").alias("block")), m)
+        if blocks <= target or blocks == before:
+            break
     done = settle(edges, labels, blocks, nodes, n_edges, threshold, seed, batches, most_sweeps, least_moves=least_moves, form=form, m=m, ends=ends)
     return settled_point(done, blocks, nodes, n_edges, form)
 

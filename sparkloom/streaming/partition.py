@@ -82,11 +82,12 @@ def add_piece(state: State | None, piece: DataFrame, finish: bool = True, seed:
         edges = cut(state.edges.unionByName(piece).groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "edges")
         n_edges = float(edges.agg(F.sum("weight")).first()[0])
         nodes = cut(nodes_of(edges), "nodes")
-        bracket, best = Bracket(), state.bracket.best
-        more_nodes = nodes.count() > best.labels.count()
-        # new nodes are blocks of their own until they merge, so a point below the best bounds the search no more
-        for p in (p for p in state.bracket.points if not more_nodes or p.blocks >= best.blocks):
+        bracket = Bracket()
+        for p in state.bracket.points:
             bracket.put(with_new_nodes(p, edges, piece, nodes, n_edges, batches, seed, options.get("most_sweeps", 100)))
+        if nodes.count() > state.bracket.best.labels.count():
+            # new nodes come as blocks of their own, so what has fewer blocks than the best was not merged there and bounds nothing
+            bracket = Bracket({n: p for n, p in bracket.tried.items() if n >= bracket.best.blocks})
         found = partition(edges, seed=seed, batches=batches, resume=bracket, stop_at_bracket=True, **options)
     state = State(edges, found.bracket)
     if not finish:
