@@ -1,51 +1,32 @@
 """Triangles of simple undirected graphs, given as edges ``a, b`` with ``a < b``.
 
-Edges are directed from the end of fewer edges to the other, ties by id, so the wedges of a hub stay few: a vertex has at
-most about sqrt(2 E) edges going out. What an edge's two ends both direct an edge to closes a triangle, so the lists of the
-ends meet in one equi-join and no wedge is shuffled.
+How triangles are found is told in ``packed``: sorted lists of later neighbours, sent once a part of the graph, are met in
+memory; no wedge is shuffled or written.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators import packed
+
 
 def simple_edges(rows: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Distinct edges with ``a < b``, without loops."""
     return rows.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def oriented(edges: DataFrame) -> DataFrame:
-    """``u, v``: each edge from the end of the smaller (degree, id) to the other."""
-    degree = edges.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("d"))
-    both = edges.join(degree.select(F.col("x").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("x").alias("b"), F.col("d").alias("db")), "b")
-    first = (F.col("da") < F.col("db")) | (F.col("da") == F.col("db")) & (F.col("a") < F.col("b"))
-    return both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"))
-
-
-def shared_ends(edges: DataFrame) -> DataFrame:
-    """``u, v, near, far``: each directed edge with the lists of what its two ends direct edges to.
-
-    A wedge is a pair of places in a list, so an edge stands for all wedges over it in one row of a shuffle.
-    """
-    lists = oriented(edges).groupBy("u").agg(F.collect_list("v").alias("near"))
-    ends = lists.where(F.size("near") > 1).select("u", F.explode("near").alias("v"), "near")
-    return ends.join(lists.select(F.col("u").alias("v"), F.col("near").alias("far")), "v")
-
-
 def triangles(edges: DataFrame) -> DataFrame:
     """``a < b < c`` of each triangle, once."""
-    closed = shared_ends(edges).select("u", "v", F.explode(F.array_intersect("near", "far")).alias("w"))
-    least, most = F.least("u", "v", "w"), F.greatest("u", "v", "w")
-    middle = F.greatest(F.least("u", "v"), F.least(F.greatest("u", "v"), F.col("w")))
-    return closed.select(least.alias("a"), middle.alias("b"), most.alias("c"))
+    return packed.numbered(edges, packed.listed, ("a", "b", "c"))
 
 
 def triangle_count(edges: DataFrame) -> DataFrame:
-    """One row; the triangles are not listed, only what two lists share is counted."""
-    common = F.size(F.array_intersect("near", "far")).cast("long")
-    return shared_ends(edges).agg(F.coalesce(F.sum(common), F.lit(0)).cast("long").alias("triangles"))
+    """One row; the triangles are not listed."""
+    found = packed.numbered(edges, packed.counted, ())
+    return found.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("triangles"))
 
 
 def masked_wedges(first: DataFrame, second: DataFrame, mask: DataFrame) -> DataFrame:
@@ -126,21 +107,30 @@ def k_counts(edges: DataFrame, cap: int | None = None) -> DataFrame:
     """``k, triangles``: by the largest clique each triangle could be in, judged by the degrees of its corners and sides.
 
     A triangle can be in a clique of k only if each corner is in C(k - 1, 2) triangles and each side in k - 2. An edge's degree
-    and those of its ends make its bound, and a triangle has the least of its sides' bounds, so the bounds meet the triangles
-    in one join.
+    and those of its ends make its bound, and a triangle has the least of its sides' bounds. Triangles are found twice, for
+    the degrees and, by the edges with their bounds, for the counts; they are never written.
     """
-    from sparkloom.plans.shared import cut
+    return packed.numbered(edges, lambda e: _k_counts(e, cap), ())
+
+
+def _k_counts(edges: DataFrame, cap: int | None) -> DataFrame:
+    from sparkloom.plans.shared import cut, discard, release
 
-    found = cut(triangles(edges).withColumn("t", F.monotonically_increasing_id()), "triangles")  # read twice
-    side = edge_degrees(found)
+    spark = edges.sparkSession
+    side = cut(packed.supported(edges), "support")
+    release(spark)
     # a vertex is in half as many triangles as its edges together
     ends = side.select(F.explode(F.array("a", "b")).alias("x"), "triangles").groupBy("x").agg((F.sum("triangles") / 2).cast("long").alias("n"))
-    both = side.join(ends.select(F.col("x").alias("a"), F.col("n").alias("na")), "a").join(ends.select(F.col("x").alias("b"), F.col("n").alias("nb")), "b")
-    by_corner = F.floor((3 + F.sqrt(1 + 8 * F.least("na", "nb"))) / 2)
-    bounds = both.select("a", "b", F.least(by_corner, F.col("triangles") + 2).cast("long").alias("k"))
-    k = F.min("k") if cap is None else F.least(F.min("k"), F.lit(cap)).cast("long")
-    of_triangle = sides(found, "t").join(bounds, ["a", "b"]).groupBy("t").agg(k.alias("k"))
-    return of_triangle.groupBy("k").agg(F.count("*").alias("triangles"))
+    ends = cut(ends.select("x", F.floor((3 + F.sqrt(1 + 8 * F.col("n"))) / 2).cast("long").alias("bound")), "vertices")
+    bounds = side.select("a", "b", (F.col("triangles") + 2).alias("k"))
+    for end in "ab":
+        bounds = bounds.join(ends.withColumnRenamed("x", end), end).select("a", "b", F.least("k", "bound").alias("k"))
+    bounds = cut(bounds, "bounds")
+    discard(side, ends)
+    release(spark)
+    found = packed.counted(bounds, "k", lambda x, y, z: np.minimum(np.minimum(x, y), z))
+    k = F.col("key") if cap is None else F.least("key", F.lit(cap)).cast("long")
+    return found.groupBy(k.alias("k")).agg(F.sum("n").cast("long").alias("triangles"))
 
 
 def truss(edges: DataFrame, k: int) -> DataFrame:

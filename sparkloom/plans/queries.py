@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.columns import xlogx
 from sparkloom.operators import kronecker, matrix, network, triangles
 from sparkloom.operators.blocks import evaluate, generate, merges, moves, search, state
-from sparkloom.plans.shared import cut, new_path
+from sparkloom.plans.shared import cut, discard, new_path, release
 from sparkloom.sources import readers, writers
 
 
@@ -27,10 +27,17 @@ def co_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def co_part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same without weights, written once, as every query reads it several times."""
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
-    pairs = items.select("o", F.col("p").alias("a")).join(items.select("o", F.col("p").alias("b")), "o").where("a < b")
-    return cut(pairs.select("a", "b").distinct(), "co_parts")
+    """The same without weights, written once, as every query reads it several times; in ranges, which pack well."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).where("o is not null and p is not null")
+    baskets = cut(items.repartition("o").groupBy("o").agg(F.sort_array(F.collect_set("p")).alias("parts")).where(F.size("parts") > 1).select("parts"), "baskets")
+    release(spark)
+    firsts = baskets.select(F.posexplode("parts").alias("at", "a"), "parts")
+    pairs = firsts.select("a", F.explode(F.slice("parts", F.col("at") + 2, F.size("parts"))).alias("b"))
+    edges = cut(pairs.repartitionByRange("a", "b").distinct(), "co_parts")
+    discard(baskets)
+    del items, baskets, firsts, pairs
+    release(spark)
+    return edges
 
 
 def co_part_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,3 +40,13 @@ def discard(*written: DataFrame) -> None:
         for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished jobs, as it does once the driver has collected its garbage.
+
+    Spark holds on to the last job, so a job of one row is run first.
+    """
+    gc.collect()
+    spark.range(1, numPartitions=1).count()
+    spark.sparkContext._jvm.System.gc()
