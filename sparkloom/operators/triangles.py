@@ -136,27 +136,31 @@ def _k_counts(edges: DataFrame, cap: int | None) -> DataFrame:
 def truss(edges: DataFrame, k: int) -> DataFrame:
     """The k-truss: what is left when edges in fewer than ``k - 2`` triangles go, until none does.
 
-    Triangles are listed once. A round finds the edges short of triangles, takes out the triangles they are a side of, and
-    counts the rest anew from what is left; triangles and edges that are left are written to the shared folder.
+    A round counts the triangles of the edges that are left and writes the edges that are in enough of them; triangles are not
+    written. An edge that is in a triangle keeps it, so for ``k = 3`` one round is all.
     """
-    from sparkloom.plans.shared import cut, discard
+    from sparkloom.plans.shared import cut
 
     if k <= 2:
         return cut(edges.select("a", "b"), "truss")
-    left = cut(triangles(edges), "triangles")
+    return packed.numbered(edges.select("a", "b"), lambda e: _truss(e, k), ("a", "b"))
+
+
+def _truss(edges: DataFrame, k: int) -> DataFrame:
+    from sparkloom.plans.shared import cut, discard, release
+
+    order = packed.order_of(edges)
+    if order is None:
+        return edges
+    left, n = None, -1
     while True:
-        support = cut(edge_degrees(left), "support")
-        short = support.where(F.col("triangles") < k - 2).select("a", "b")
-        if not short.limit(1).count():
+        now = cut(packed.supported(edges if left is None else left, order).where(F.col("triangles") >= k - 2).select("a", "b"), "truss")
+        if left is not None:
             discard(left)
-            return support.select("a", "b")
-        # a triangle goes with any of its sides
-        kept = left
-        for p, q in ("ab", "ac", "bc"):
-            kept = kept.join(short.select(F.col("a").alias(p), F.col("b").alias(q)), [p, q], "left_anti")
-        now = cut(kept.select("a", "b", "c"), "triangles")
-        discard(left, support)
-        left = now
+        release(edges.sparkSession)
+        before, left, n = n, now, now.count()
+        if k == 3 or n in (0, before):
+            return left
 
 
 def incidence(edges: DataFrame) -> DataFrame:

@@ -88,3 +88,20 @@ def test_k_counts_of_many_parts(spark, hubs):
         assert {r["k"]: r["triangles"] for r in triangles.k_counts(edges).collect()} == expected
     text = edges.select(F.concat(F.lit("v"), "a").alias("x"), F.concat(F.lit("v"), "b").alias("y"))
     assert {r["k"]: r["triangles"] for r in triangles.k_counts(triangles.simple_edges(text, "x", "y")).collect()} == expected
+
+
+def test_truss_moves_few_bytes(spark, random_edges):
+    edges, n = random_edges
+    assert moved(spark, lambda: triangles.truss(edges, 3).count()) < 60 * n
+
+
+def test_truss_of_many_parts(spark, hubs):
+    pairs, found = hubs
+    left = set(pairs)
+    while True:
+        sides = sides_of({t for t in found if {(t[0], t[1]), (t[0], t[2]), (t[1], t[2])} <= left})
+        now = {p for p, x in sides.items() if len(x) >= 3}
+        if now == left:
+            break
+        left = now
+    assert {tuple(r) for r in triangles.truss(spark.createDataFrame(pairs, "a long, b long"), 5).collect()} == left
