@@ -60,16 +60,21 @@ def triangle_count_lower(adjacency: DataFrame) -> DataFrame:
 
 
 def triangle_count_incidence(adjacency: DataFrame, incidence: DataFrame) -> DataFrame:
-    """A third of the entries of ``A B`` that are 2, for an incidence matrix B of ``vertex, edge, v``.
+    """A third of the entries of ``A B`` that are 2, for symmetric A and an incidence matrix B of ``vertex, edge, v``.
 
-    An entry counts the ends of the edge that the vertex is joined with; it can be 2 only if both are, so a vertex and an edge
-    that meet twice are a triangle. Edges go to their end of fewer neighbours, whose list is looked up at the other end.
+    An entry counts the ends of the edge that the vertex is joined with; it can be 2 only if both are. So a side that is
+    ``m`` edges of B gives ``m`` such entries where the other two sides are in A, whatever else is in A or B.
     """
-    ends = incidence.where("v <> 0").groupBy("edge").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).where("a <> b")
-    plain = adjacency.where("i <> j and v <> 0")
-    corners = masked_wedges(plain, plain, ends.select(F.col("a").alias("i"), F.col("b").alias("j")).distinct())
-    found = corners.join(ends.select(F.col("a").alias("i"), F.col("b").alias("j"), "edge"), ["i", "j"])
-    return found.agg((F.count("*") / 3).cast("long").alias("triangles"))
+    ends = edges_of_incidence(incidence).where("a <> b").select("a", "b", F.lit(2).cast("long").alias("w"))
+    joined = adjacency.where("i < j and v <> 0").select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit(1).cast("long").alias("w"))
+
+    def entries(*sides):
+        # of each side twice its edges of B, and 1 if it is in A
+        x, y, z = [((s >> np.uint64(1)).astype(np.int64), (s & np.uint64(1)).astype(np.int64)) for s in sides]
+        return x[0] * y[1] * z[1] + y[0] * x[1] * z[1] + z[0] * x[1] * y[1]
+
+    found = packed.numbered(joined.unionByName(ends), lambda e: packed.counted(e, "w", entries), ())
+    return found.agg((F.coalesce(F.sum(F.col("key") * F.col("n")), F.lit(0)) / 3).cast("long").alias("triangles"))
 
 
 def edges_of_wedges(edges: DataFrame) -> DataFrame:

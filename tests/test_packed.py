@@ -105,3 +105,21 @@ def test_truss_of_many_parts(spark, hubs):
             break
         left = now
     assert {tuple(r) for r in triangles.truss(spark.createDataFrame(pairs, "a long, b long"), 5).collect()} == left
+
+
+def both_ways(edges):
+    one = F.lit(1.0).alias("v")
+    return edges.select(F.col("a").alias("i"), F.col("b").alias("j"), one).union(edges.select("b", "a", one))
+
+
+def test_incidence_count_moves_few_bytes(spark, random_edges):
+    edges, n = random_edges
+    named = triangles.incidence(edges.selectExpr("a * 10000 + b as edge", "a", "b"))
+    assert moved(spark, lambda: triangles.triangle_count_incidence(both_ways(edges), named).collect()) < 150 * n
+
+
+def test_incidence_count_of_many_parts(spark, hubs):
+    pairs, found = hubs
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    named = triangles.incidence(edges.selectExpr("a * 10000 + b as edge", "a", "b"))
+    assert triangles.triangle_count_incidence(both_ways(edges), named).first()[0] == len(found)
