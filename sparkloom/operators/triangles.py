@@ -83,7 +83,10 @@ def edges_of_wedges(edges: DataFrame) -> DataFrame:
     It is the product of adjacency and incidence whose entries are joined to lists in place of being summed, of which only
     entries with two contributions stay.
     """
-    found = sides(triangles(edges))
+    if dict(edges.dtypes)["a"] in packed.INTEGERS:
+        found = packed.numbered(edges, packed.cornered, ("a", "b"))
+        return found.withColumn("corners", F.col("corners").cast(f"array<{dict(edges.dtypes)['a']}>"))
+    found = packed.numbered(edges, lambda e: packed.cornered(e).select("a", "b", F.explode("corners").alias("x")), ("a", "b", "x"))
     return found.groupBy("a", "b").agg(F.sort_array(F.collect_list("x")).alias("corners"))
 
 

@@ -123,3 +123,18 @@ def test_incidence_count_of_many_parts(spark, hubs):
     edges = spark.createDataFrame(pairs, "a long, b long")
     named = triangles.incidence(edges.selectExpr("a * 10000 + b as edge", "a", "b"))
     assert triangles.triangle_count_incidence(both_ways(edges), named).first()[0] == len(found)
+
+
+def test_edge_corners_move_few_bytes(spark, random_edges):
+    edges, n = random_edges
+    per_corner = moved(spark, lambda: triangles.edges_of_wedges(edges).count()) / (6 * triangles.triangle_count(edges).first()[0])
+    assert per_corner < 12
+
+
+def test_edge_corners_of_many_parts(spark, hubs):
+    pairs, found = hubs
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    assert {(r["a"], r["b"]): list(r["corners"]) for r in triangles.edges_of_wedges(edges).collect()} == sides_of(found)
+    text = triangles.simple_edges(edges.select(F.concat(F.lit("v"), "a").alias("x"), F.concat(F.lit("v"), "b").alias("y")), "x", "y")
+    names = {(r["a"], r["b"]): list(r["corners"]) for r in triangles.edges_of_wedges(text).collect()}
+    assert names == {tuple(sorted((f"v{a}", f"v{b}"))): sorted(f"v{c}" for c in x) for (a, b), x in sides_of(found).items()}
