@@ -52,11 +52,10 @@ def triangle_count_algebra(adjacency: DataFrame) -> DataFrame:
 
 
 def triangle_count_lower(adjacency: DataFrame) -> DataFrame:
-    """The sum of ``L L ∘ L`` for the lower triangle L; the mask comes before the sum."""
+    """The sum of ``L L ∘ L`` for the lower triangle L of 0-1 triples, which has one term a triangle; the mask comes first."""
     from sparkloom.operators.matrix import lower
 
-    low = lower(adjacency)
-    return masked_wedges(low, low, low).agg(F.count("*").alias("triangles"))
+    return triangle_count(lower(adjacency).select(F.col("j").alias("a"), F.col("i").alias("b")))
 
 
 def triangle_count_incidence(adjacency: DataFrame, incidence: DataFrame) -> DataFrame:

@@ -138,3 +138,8 @@ def test_edge_corners_of_many_parts(spark, hubs):
     text = triangles.simple_edges(edges.select(F.concat(F.lit("v"), "a").alias("x"), F.concat(F.lit("v"), "b").alias("y")), "x", "y")
     names = {(r["a"], r["b"]): list(r["corners"]) for r in triangles.edges_of_wedges(text).collect()}
     assert names == {tuple(sorted((f"v{a}", f"v{b}"))): sorted(f"v{c}" for c in x) for (a, b), x in sides_of(found).items()}
+
+
+def test_lower_count_moves_few_bytes(spark, random_edges):
+    edges, n = random_edges
+    assert moved(spark, lambda: triangles.triangle_count_lower(both_ways(edges)).collect()) < 60 * n
