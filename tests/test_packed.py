@@ -143,3 +143,8 @@ def test_edge_corners_of_many_parts(spark, hubs):
 def test_lower_count_moves_few_bytes(spark, random_edges):
     edges, n = random_edges
     assert moved(spark, lambda: triangles.triangle_count_lower(both_ways(edges)).collect()) < 60 * n
+
+
+def test_algebra_count_moves_few_bytes(spark, random_edges):
+    edges, n = random_edges
+    assert moved(spark, lambda: triangles.triangle_count_algebra(both_ways(edges)).collect()) < 60 * n
