@@ -1,4 +1,4 @@
-"""Embedding near-duplicates: all pairs of a label, or sorted projection passes where a label is large.
+"""Embedding near-duplicates: sorted projection passes where a label is large, and all pairs of every label.
 
 1. Equal vectors of one label become one class with a count, so copies of any number are one row.
 2. Labels of up to ``EXACT`` classes are compared whole, in squares of bounded size: nothing is missed there.
@@ -7,12 +7,13 @@
    positions, each with the last ``WINDOW`` of the block before, so every task compares the same number of rows however the
    numbers crowd. All pairs of a block are compared.
 4. The number of passes follows from the label's size and spread, see ``passes_for``; a label goes on beyond it until a round
-   of ``ROUND`` passes joins no more of it. Where the passes would cost more than all pairs, all pairs are compared.
+   of ``ROUND`` passes joins no more of it. Where the passes would cost more than all pairs, there are none. Then all pairs of
+   the label that the passes did not join are compared as in 2, so what is found does not depend on how many rows there are.
 5. The pairs that reach the cosine are united into components.
 6. Inside a component, every pair is compared once, in square blocks of bounded size, for the exact number of links.
 
-Pairs of a large label are found by hashing, so a link may be missed there: ``MISS`` is the chance that a pair at just the
-cosine meets in no pass, for a label that is isotropic around its mean. A label of many tight clusters is less even than that.
+The passes leave the check little to give back, but it compares all pairs: its cost grows with the square of a label's classes.
+``MISS`` is the chance that a pair at just the cosine meets in no pass, for a label that is isotropic around its mean.
 
 Cases: vectors that are null, empty, zero or hold a null or non-finite component, and rows with a null label or id, link with
 nothing; vectors of different lengths don't link; repeated rows count as other vectors; ties go to the smallest id; an empty
@@ -35,7 +36,7 @@ from sparkloom.plans.shared import discard
 
 COSINE = 0.93
 WINDOW, BLOCK, BITS = 256, 1024, 64
-#: Classes of a label up to which all its pairs are compared; passes a round; chance that a pair meets in no pass.
+#: Classes of a label up to which all its pairs are compared at once, without passes; passes a round; chance that a pair meets in no pass.
 EXACT, ROUND, MISS = 16384, 8, 1e-4
 #: Rows on a side of a square that counts links.
 TILE = 128
@@ -175,8 +176,8 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def group_links(group: pa.Table, marks: tuple[str, ...], cosine: float, own: str | None = None) -> pa.Table:
-    """Links ``a, b`` inside the equal ``marks`` of a group; with ``own``, only those of rows that differ in it."""
+def group_links(group: pa.Table, marks: tuple[str, ...], cosine: float, apart: tuple[str, ...] = ()) -> pa.Table:
+    """Links ``a, b`` inside the equal ``marks`` of a group, only those of rows that differ in each column of ``apart``."""
     group = group.sort_by([(m, "ascending") for m in marks]).combine_chunks()
     ids, vecs = group.column("id"), group.column("vec").to_pylist()
     edge = np.zeros(len(vecs) + 1, bool)
@@ -185,7 +186,7 @@ def group_links(group: pa.Table, marks: tuple[str, ...], cosine: float, own: str
         values = group.column(m).to_numpy()
         edge[1:-1] |= values[1:] != values[:-1]
     edges = np.flatnonzero(edge).tolist()
-    sides = group.column(own).to_numpy() if own else None
+    sides = [group.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in apart]
     found_a, found_b = [], []
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         if high - low < 2:
@@ -193,8 +194,8 @@ def group_links(group: pa.Table, marks: tuple[str, ...], cosine: float, own: str
         v = unit_rows(vecs[low:high])
         linked = v @ v.T >= cosine
         np.fill_diagonal(linked, False)
-        if sides is not None:
-            linked &= sides[low:high, None] != sides[None, low:high]
+        for side in sides:
+            linked &= side[low:high, None] != side[None, low:high]
         for x, y in forest(linked):
             found_a.append(low + x)
             found_b.append(low + y)
@@ -202,21 +203,27 @@ def group_links(group: pa.Table, marks: tuple[str, ...], cosine: float, own: str
     return pa.table([a, b], ["a", "b"])
 
 
-def square_links(classes: DataFrame, cosine: float) -> DataFrame:
-    """Links ``a, b`` of all pairs of each label, thinned to what keeps the components; small labels share a task."""
+def square_links(classes: DataFrame, cosine: float, known: DataFrame | None = None) -> DataFrame:
+    """Links ``a, b`` of all pairs of each label, thinned to what keeps the components; small labels share a task.
+
+    ``known`` has ``a, b``, an id and its component so far; links inside one are left out.
+    """
     kind = dict(classes.dtypes)["id"]
+    joined = ["within"] if known is not None else []
+    if known is not None:
+        classes = classes.join(known.select(F.col("a").alias("id"), F.col("b").alias("within")), "id", "left").withColumn("within", F.coalesce("within", "id"))
     sizes = materialise(classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.count("*").alias("n")), "label_sizes")
     bins = int((sizes.where("parts = 1").agg(F.sum("n")).first()[0] or 0) // BLOCK + 1)
-    dealt = classes.select("label", "dim", "id", "c", "vec").join(sizes.drop("n"), ["label", "dim"])
+    dealt = classes.select("label", "dim", "id", "c", "vec", *joined).join(sizes.drop("n"), ["label", "dim"])
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("c", "id"), F.col("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     mark = F.xxhash64("label", "dim")
     bin_ = F.when(F.col("parts") == 1, F.pmod(mark, F.lit(bins))).otherwise(mark)
-    dealt = dealt.select(bin_.alias("bin"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "label", "dim", "id", "vec")
+    dealt = dealt.select(bin_.alias("bin"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "label", "dim", "id", "vec", *joined)
 
     def compare(group: pa.Table) -> pa.Table:
         split = group.column("x")[0].as_py() != group.column("y")[0].as_py()
-        return group_links(group, ("label", "dim"), cosine, "own" if split else None)
+        return group_links(group, ("label", "dim"), cosine, (*(["own"] if split else []), *joined))
 
     return dealt.repartition("bin", "x", "y").groupBy("bin", "x", "y").applyInArrow(compare, f"a {kind}, b {kind}")
 
@@ -245,7 +252,7 @@ def pass_links(classes: DataFrame, means: dict[tuple, bytes], turns: range, cosi
 
 
 def find_links(classes: DataFrame, cosine: float, passes: int | None, window: int, seed: int, exact: int) -> DataFrame:
-    """Links ``a, b`` that connect each component: of all pairs in small labels, of passes in those of over ``exact`` classes."""
+    """Links ``a, b`` that connect each component: of all pairs, after passes in labels of over ``exact`` classes."""
     spark, kinds = classes.sparkSession, dict(classes.dtypes)
     mark = f"label {kinds['label']}, dim int"
     crowded = classes.groupBy("label", "dim").count().where(F.col("count") > exact).select("label", "dim").collect()
@@ -273,7 +280,8 @@ def find_links(classes: DataFrame, cosine: float, passes: int | None, window: in
         now = {(r["label"], r["dim"]): r["count"] for r in known.where("a <> b").join(marks, "a").groupBy("label", "dim").count().join(large, ["label", "dim"], "left_semi").collect()}
         active = {m for m in active if turn < need[m] or now.get(m, 0) != joined.get(m, 0)}
         joined = now
-    return links.unionByName(known)
+    missed = square_links(classes.join(large, ["label", "dim"], "left_semi"), cosine, known)
+    return links.unionByName(known).unionByName(missed)
 
 
 def count_links(members: DataFrame, cosine: float) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import near_dups, vectors, words
 from sparkloom.llm.components import components
@@ -221,6 +222,18 @@ def test_vectors_of_a_concentrated_label(spark, exact):
     assert recall == 1 if exact > 12000 else recall > 0.999
 
 
+def test_vectors_do_not_depend_on_a_switch_by_size(spark, monkeypatch):
+    """Links that no pass finds are found all the same, in labels of any size."""
+    rows = concentrated(1500)
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    expected = sorted(map(tuple, vectors.near_vectors(frame).collect()))
+    passes = vectors.pass_links
+    for share in (0, 0.5):
+        monkeypatch.setattr(vectors, "pass_links", lambda *a, share=share: passes(*a).where(F.col("a") % 10 < 10 * share))
+        assert sorted(map(tuple, vectors.near_vectors(frame, passes=1, exact=500).collect())) == expected
+    assert sum(r[1] for r in expected) >= 3000
+
+
 def test_passes_follow_size_and_spread():
     few, many, close = (vectors.passes_for(n, spread, 0.93, vectors.WINDOW) for n, spread in ((500_000, 0.0), (5_000_000, 0.0), (5_000_000, 0.4)))
     assert 24 < few < many < close
