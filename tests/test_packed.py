@@ -148,3 +148,8 @@ def test_lower_count_moves_few_bytes(spark, random_edges):
 def test_algebra_count_moves_few_bytes(spark, random_edges):
     edges, n = random_edges
     assert moved(spark, lambda: triangles.triangle_count_algebra(both_ways(edges)).collect()) < 60 * n
+
+
+def test_truss_of_several_rounds_moves_few_bytes(spark, random_edges):
+    edges, n = random_edges
+    assert moved(spark, lambda: triangles.truss(edges, 5).count()) < 120 * n
