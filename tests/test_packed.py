@@ -59,7 +59,7 @@ def test_codes_come_back():
 
 def test_k_counts_move_few_bytes(spark, random_edges):
     edges, n = random_edges
-    assert moved(spark, lambda: triangles.k_counts(edges).collect()) < 150 * n  # lists sent once an edge took far more
+    assert moved(spark, lambda: triangles.k_counts(edges).collect()) < 150 * n
 
 
 def test_triangles_of_many_parts(spark, hubs):
