@@ -7,6 +7,7 @@
 3. A part meets its own lists and those it was sent: the list of ``u`` is marked, and the lists of the ``v`` in it are looked
    up in the marks. What is marked is a triangle ``u, v, w``, found once, in the part of ``v``.
 4. Numbers a side of a triangle gets go to the part of the side's earlier end.
+5. All triangles of an edge with both ends in a part are found in that part.
 
 Lists are coded as differences in as few bytes as they need, some three bytes an edge. No wedge is sent, stored or held beyond
 a step of ``WEDGES``. On the driver are the vertices of many edges, at most ``4 sqrt(2 E)``, and the bounds of the parts.
@@ -33,6 +34,8 @@ MOST, LEAST = 1 << 21, 200_000
 ROW, WEDGES, CELLS = 1 << 18, 1 << 19, 1 << 22
 #: Parts that the triples of a part are dealt into, when they are sorted by their sides.
 SHARES = 8
+#: Triangles that a part may hold besides two an edge.
+HELD = 1 << 20
 
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
@@ -95,6 +98,11 @@ class Order:
     def part(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, places, side="right")
 
+    def inner(self, part: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Which edges ``u, v``, with ``u`` the earlier, have both ends in the part."""
+        out = u >= self.bounds[part - 1] if part else np.ones(len(u), bool)
+        return out & (v < self.bounds[part]) if part < len(self.bounds) else out
+
 
 def order_of(edges: DataFrame) -> Order | None:
     """The order of the vertices of ``a, b``, as long integers; None without edges."""
@@ -140,12 +148,15 @@ def in_order(*keys: np.ndarray) -> np.ndarray | slice:
         b, a = keys
         if np.all((a[1:] > a[:-1]) | (a[1:] == a[:-1]) & (b[1:] >= b[:-1])):
             return slice(None)
+        low, width = b.min(), int(b.max()) - int(b.min()) + 1
+        if (int(a.max()) - int(a.min()) + 1) * width < 1 << 64:
+            return np.argsort((a - a.min()) * np.uint64(width) + (b - low), kind="stable")
     return np.lexsort(keys)
 
 
 def spread(packed: DataFrame, order: Order, key: str, *more: str) -> DataFrame:
-    """Rows of one part in one task, together."""
-    return packed.repartition(4 * order.parts, key).sortWithinPartitions(key, *more)
+    """Rows of one part in one task, in order."""
+    return packed.repartitionById(order.parts, key).sortWithinPartitions(key, *more)
 
 
 def lists_of(edges: DataFrame, order: Order, value: str | None = None) -> DataFrame:
@@ -391,6 +402,152 @@ def supported(edges: DataFrame, order: Order | None = None) -> DataFrame:
     return spread(sent, order, "part").mapInArrow(add, "a long, b long, triangles long")
 
 
+# ---- peeling, by parts that keep their triangles
+
+#: Rows of what ``peelings`` writes: sides and triangles that are left in a part, edges that are gone, sides' numbers of triangles, and too many triangles.
+SIDES, FOUND, GONE, SUMS, OVER = range(5)
+PEELED = "part int, kind int, at int, blob binary"
+PEELED_KINDS = {"part": pa.int32(), "kind": pa.int32(), "at": pa.int32(), "blob": pa.binary()}
+
+
+def peel(sides: np.ndarray, size: int, bad: np.ndarray, inner: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of triangles, columns of the numbers of their sides, those without a bad side, and how many each side is in; inner sides in fewer than ``least`` go bad."""
+    n = sum(np.bincount(s, minlength=size) for s in sides)
+    while True:
+        go = bad[sides[0]] | bad[sides[1]] | bad[sides[2]]
+        if go.any():
+            n -= sum(np.bincount(s, minlength=size) for s in sides[:, go])
+            sides = sides[:, ~go]
+        bad = inner & (n > 0) & (n < least)
+        if not bad.any():
+            return sides, n
+
+
+def sums(order: Order, u: np.ndarray, v: np.ndarray, n: np.ndarray, which: np.ndarray, q: int, last: bool = False) -> Iterator[tuple]:
+    """Rows that tell the parts of the earlier ends of sides ``u, v`` of part ``q`` in how many of its triangles they are, by their numbers.
+
+    At ``last`` they only tell which sides are in one.
+    """
+    some = np.flatnonzero(which & (n > 0))
+    at = [*np.searchsorted(u[some], order.bounds), len(some)]
+    for p, (low, high) in enumerate(zip([0, *at], at, strict=False)):
+        for i in range(low, high, ROW):
+            k = some[i : min(i + ROW, high)]
+            yield p, SUMS, q, pack(u[k], v[k], *([] if last else [n[k].astype(np.uint64), k.astype(np.uint64)]))
+
+
+def peelings(edges: DataFrame, order: Order, least: int) -> DataFrame:
+    """The parts' triangles that are left when inner edges, with both ends in a part, in fewer than ``least`` of them went, and ``SUMS`` of others.
+
+    A part finds all triangles of its inner edges, so these go without a word to others. A part of more than two triangles an
+    edge and ``HELD`` gives ``OVER`` in their place.
+    """
+
+    def run(batches):
+        for q, part, _, lists in meetings(batches):
+            found, us, vs, size, n, most = [], [], [], 0, 0, 2 * len(part.u) + HELD
+            for p, (u, x), _ in lists:
+                hits = [np.stack((e, t, k)) for e, k, t in part.met(u, x)]
+                n += sum(h.shape[1] for h in hits)
+                if n > most:
+                    break
+                if p == q:
+                    us, vs, size = [u], [x], len(u)
+                elif hits:
+                    # of others' edges those in triangles
+                    some = np.zeros(len(u), bool)
+                    for h in hits:
+                        some[h[0]] = some[h[1]] = True
+                    number = np.cumsum(some) - 1 + size
+                    for h in hits:
+                        h[:2] = number[h[:2]]
+                    us.append(u[some])
+                    vs.append(x[some])
+                    size += len(us[-1])
+                found += [h.astype(np.int32) for h in hits]
+            if n > most:
+                yield batch_of(PEELED_KINDS, [q], [OVER], [0], [b""])
+                continue
+            if not n:
+                continue
+            u, v, sides = np.concatenate(us), np.concatenate(vs), np.concatenate(found, axis=1)
+            del us, vs, found
+            sides, n = peel(sides, size, np.zeros(size, bool), order.inner(q, u, v), least)
+            some = np.flatnonzero(n)
+            some = some[in_order(v[some], u[some])]
+            number = np.zeros(size, np.int32)
+            number[some] = np.arange(len(some))
+            u, v, n = u[some], v[some], n[some]
+            sides = number[sides]
+            i, j, k = sides[:, np.argsort(sides[0], kind="stable")].astype(np.int64)
+            # u w by its place after u v, v w by its place in the list of v, so that a triangle takes some three bytes
+            places = [z.astype(np.uint64) for z in (i, j - i, k - np.searchsorted(u, v)[i])]
+            for kind, arrays in ((SIDES, (u, v)), (FOUND, places)):
+                for i in range(0, len(arrays[0]), ROW):
+                    yield batch_of(PEELED_KINDS, [q], [kind], [i // ROW], [pack(*[z[i : i + ROW] for z in arrays])])
+            for row in sums(order, u, v, n, ~order.inner(q, u, v), q):
+                yield batch_of(PEELED_KINDS, *[[x] for x in row])
+
+    return lists_of(edges, order).mapInArrow(run, PEELED)
+
+
+def peeled(held: DataFrame, order: Order, least: int, last: bool) -> DataFrame:
+    """``SUMS`` of sides that are not inner, or at ``last`` of all, once the edges ``GONE`` of rows that ``peelings`` gave have gone."""
+
+    def run(batches):
+        for q, rows in groupby(rows_of(batches), key=lambda r: r[0]):
+            of = {kind: joined([r[3] for r in some]) for kind, some in groupby(rows, key=lambda r: r[1])}
+            if SIDES not in of:
+                continue
+            u, v = of[SIDES]
+            bad = np.zeros(len(u), bool)
+            if GONE in of:
+                bad[of[GONE][0]] = True
+            inner = order.inner(q, u, v)
+            i, j, k = (z.astype(np.int32) for z in of.pop(FOUND))
+            _, n = peel(np.stack((i, i + j, np.searchsorted(u, v).astype(np.int32)[i] + k)), len(u), bad, inner, least)
+            for row in sums(order, u, v, n, ~inner | last, q, last):
+                yield batch_of(PEELED_KINDS, *[[x] for x in row])
+
+    return spread(held, order, "part", "kind", "at").mapInArrow(run, PEELED)
+
+
+def gone(told: DataFrame, order: Order, least: int) -> DataFrame:
+    """For each part the numbers of its sides that are in fewer than ``least`` triangles by all ``SUMS`` told."""
+
+    def run(batches):
+        for p, rows in groupby(rows_of(batches), key=lambda r: r[0]):
+            rows = list(rows)
+            u, v, n, k = joined([r[3] for r in rows])
+            q = np.repeat([r[2] for r in rows], [struct.unpack_from("<Q", r[3])[0] for r in rows])
+            by = in_order(v, u)
+            u, v, n, k, q = (z[by] for z in (u, v, n, k, q))
+            new = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]))))
+            few = np.repeat(np.add.reduceat(n, new) < least, np.diff(np.append(new, len(k))))
+            for to in np.unique(q[few]).tolist():
+                yield batch_of(PEELED_KINDS, [to], [GONE], [p], [pack(np.sort(k[few & (q == to)]))])
+
+    return spread(told.where(F.col("kind") == SUMS), order, "part").mapInArrow(run, PEELED)
+
+
+def remaining(told: DataFrame, order: Order) -> DataFrame:
+    """``a, b`` of the edges in the ``last`` ``SUMS`` told, once."""
+    kinds = {"a": pa.int64(), "b": pa.int64()}
+
+    def run(batches):
+        for _, rows in groupby(rows_of(batches), key=lambda r: r[0]):
+            u, v = joined([r[3] for r in rows])
+            by = in_order(v, u)
+            u, v = u[by], v[by]
+            new = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]))))
+            x, y = order.ids(u[new]), order.ids(v[new])
+            for i in range(0, len(new), ROW):
+                j = slice(i, i + ROW)
+                yield batch_of(kinds, np.minimum(x[j], y[j]), np.maximum(x[j], y[j]))
+
+    return spread(told, order, "part").mapInArrow(run, "a long, b long")
+
+
 def cornered(edges: DataFrame) -> DataFrame:
     """``a, b, corners``: of each edge in a triangle the third corners, in order."""
     order = order_of(edges)

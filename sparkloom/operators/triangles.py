@@ -130,8 +130,10 @@ def _k_counts(edges: DataFrame, cap: int | None) -> DataFrame:
 def truss(edges: DataFrame, k: int) -> DataFrame:
     """The k-truss: what is left when edges in fewer than ``k - 2`` triangles go, until none does.
 
-    A round counts the triangles of the edges that are left and writes the edges that are in enough of them; triangles are not
-    written. An edge that is in a triangle keeps it, so for ``k = 3`` one round is all.
+    An edge that is in a triangle keeps it, so for ``k = 3`` the triangles are counted once. Else each part of the graph writes
+    its triangles, and edges with both ends in it go from them without a round; in a round the parts only tell in how many
+    triangles their other edges are, and are told which of these go. Where triangles are many, they are not written, and a
+    round counts those of the edges that are left anew.
     """
     from sparkloom.plans.shared import cut
 
@@ -146,6 +148,10 @@ def _truss(edges: DataFrame, k: int) -> DataFrame:
     order = packed.order_of(edges)
     if order is None:
         return edges
+    if k > 3:
+        left = _peeled(edges, order, k - 2)
+        if left is not None:
+            return left
     left, n = None, -1
     while True:
         now = cut(packed.supported(edges if left is None else left, order).where(F.col("triangles") >= k - 2).select("a", "b"), "truss")
@@ -157,6 +163,32 @@ def _truss(edges: DataFrame, k: int) -> DataFrame:
             return left
 
 
+def _peeled(edges: DataFrame, order: packed.Order, least: int) -> DataFrame | None:
+    """What is left when edges in fewer than ``least`` triangles go, until none does; None where triangles are too many to write."""
+    from sparkloom.plans.shared import cut, discard, release
+
+    spark = edges.sparkSession
+    held = cut(packed.peelings(edges, order, least), "peelings")
+    release(spark)
+    if held.where(F.col("kind") == packed.OVER).limit(1).count():
+        discard(held)
+        return None
+    state = held.where(F.col("kind") < packed.SUMS)
+    told, lost = held, []
+    while True:
+        now = cut(packed.gone(told, order, least), "gone")
+        release(spark)
+        lost.append(now)
+        if not now.limit(1).count():
+            break
+        state = state.unionByName(now)
+        told = packed.peeled(state, order, least, False)
+    left = cut(packed.remaining(packed.peeled(state, order, least, True), order), "truss")
+    discard(held, *lost)
+    release(spark)
+    return left
+
+
 def incidence(edges: DataFrame) -> DataFrame:
     """Triples ``edge, vertex, v`` of edges ``edge, a, b``."""
     return edges.select("edge", F.explode(F.array("a", "b")).alias("vertex")).withColumn("v", F.lit(1.0))

@@ -153,3 +153,41 @@ def test_algebra_count_moves_few_bytes(spark, random_edges):
 def test_truss_of_several_rounds_moves_few_bytes(spark, random_edges):
     edges, n = random_edges
     assert moved(spark, lambda: triangles.truss(edges, 5).count()) < 120 * n
+
+
+def peeled_by_hand(pairs, least):
+    """The edges left when those in fewer than ``least`` triangles go, round by round, and the number of rounds."""
+    left, rounds = set(pairs), 0
+    while True:
+        near = {}
+        for a, b in left:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        now = {(a, b) for a, b in left if len(near[a] & near[b]) >= least}
+        if now == left:
+            return left, rounds
+        left, rounds = now, rounds + 1
+
+
+def test_truss_of_many_rounds_and_parts(spark, random_edges, monkeypatch):
+    monkeypatch.setattr(packed, "LEAST", 8000)
+    monkeypatch.setattr(packed, "MOST", 8000)
+    edges, n = random_edges
+    expected, rounds = peeled_by_hand([tuple(r) for r in edges.collect()], 10)
+    assert rounds > 9 and 0 < len(expected) < n
+    assert packed.order_of(edges).parts > 4
+    found = []
+    assert moved(spark, lambda: found.extend(tuple(r) for r in triangles.truss(edges, 12).collect())) < 20 * n
+    assert len(found) == len(expected) and set(found) == expected
+
+
+def test_truss_of_too_many_triangles_to_write(spark, hubs, monkeypatch):
+    pairs, _ = hubs
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    order, expected = packed.order_of(edges), peeled_by_hand(pairs, 3)[0]
+    for held in (packed.HELD, -(1 << 20)):
+        monkeypatch.setattr(packed, "HELD", held)
+        over = packed.peelings(edges, order, 3).where(F.col("kind") == packed.OVER).count()
+        assert (over > 0) == (held < 0)
+        assert {tuple(r) for r in triangles.truss(edges, 5).collect()} == expected
+        assert triangles.truss(edges.limit(1), 5).count() == triangles.truss(edges, 40).count() == 0
